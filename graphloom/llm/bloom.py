@@ -99,3 +99,52 @@ def might_repeat(twice: bytes, hashes: np.ndarray, bits: int, k: int) -> np.ndar
     for at in slots(hashes, bits, k):
         found &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return found
+
+
+MOST_COUNTER_BITS = 25  # 2^25 one-byte classes are 32 MB
+
+
+def count_classes(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
+    """For each of 2^bits slots, the bit length of the number of hashes that fall there, as one byte.
+
+    Class 0 or 1 makes a hash unique for certain; else the class is at least that of its true count.
+    """
+    size = min(BLOCK, 1 << bits)
+
+    def partial(batches):
+        n = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for h in hashes(batch):
+                np.add.at(n, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        found = []
+        for i in range(0, len(n), size):
+            if n[i : i + size].any():
+                found.append((i // size, zlib.compress(np.minimum(n[i : i + size], 65535).astype(np.uint16).tobytes(), 1), b""))
+            if len(found) == 256:
+                yield _rows(found)
+                found = []
+        if found:
+            yield _rows(found)
+
+    def packed(block, total):
+        return _rows([(block, zlib.compress(np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8).tobytes(), 1), b"")])
+
+    def merged(batches):
+        block, total = None, None
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(x), np.uint16)
+                if b != block:
+                    if block is not None:
+                        yield packed(block, total)
+                    block, total = b, np.zeros(len(x), np.uint64)
+                total += x
+        if block is not None:
+            yield packed(block, total)
+
+    parts = df.mapInArrow(partial, _SCHEMA)
+    blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, _SCHEMA).select("block", "once")
+    out = np.zeros(1 << bits, np.uint8)
+    for row in blocks.toLocalIterator():  # 32 MB at most in all
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(row.once), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
