@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, url_filter
+import corpus_pipeline
+
+from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece, url_filter
 from .common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -22,17 +28,37 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.report(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_QUERIES = (op1_chat_format, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_mixing, op7_sentencepiece, op8_ngram_join, op9_quality_rules, op10_quality_classifier)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_line_dedup, op4_url_filter, op6_mixing, op8_ngram_join)}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op6_mixing": mixing.SQL}
+    found = {"op1_chat_format": chat_format.SQL_CHECKED, "op2_exact_dedup": exact_dedup.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op6_mixing": mixing.SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -202,26 +202,26 @@ class Codec:
         self.types, self.tokens, self.count, self.first = Types(), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Segment new words and append their tokens, in order."""
+        """Segment new words and append their tokens, by length."""
         n = ends - starts
-        parts: list = [None] * len(n)
+        first, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        parts, size = [self.tokens], len(self.tokens)
         for length in np.unique(n).tolist():
             where = np.flatnonzero(n == length)
-            if length > _LONG:
-                for i in where.tolist():
-                    ids = _viterbi_long(x[starts[i] : ends[i]], self.pieces)
-                    parts[i] = _expanded(ids, np.array([len(ids)]), self.pieces)[0]
-                continue
-            step = max(1, (1 << 18) // length)
+            step = max(1, (1 << 18) // length) if length <= _LONG else 1
             for k in range(0, len(where), step):
                 some = where[k : k + step]
-                ids, counts = _expanded(*_viterbi(x[starts[some][:, None] + np.arange(length)], self.pieces), self.pieces)
-                for i, part in zip(some.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    parts[i] = part
-        sizes = np.array([len(p) for p in parts], np.int64)
-        self.first = np.concatenate([self.first, len(self.tokens) + np.cumsum(sizes) - sizes])
-        self.count = np.concatenate([self.count, sizes])
-        self.tokens = np.concatenate([self.tokens, *parts])
+                if length <= _LONG:
+                    ids, counts = _viterbi(x[starts[some][:, None] + np.arange(length)], self.pieces)
+                else:
+                    ids = _viterbi_long(x[starts[some[0]] : ends[some[0]]], self.pieces)
+                    counts = np.array([len(ids)])
+                ids, counts = _expanded(ids, counts, self.pieces)
+                count[some], first[some] = counts, size + np.cumsum(counts) - counts
+                parts.append(ids)
+                size += len(ids)
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self.tokens = np.concatenate(parts)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and n+1 offsets."""
