@@ -14,7 +14,9 @@ ranks shingles; under any order, linked sets share a token among their first n -
    ROUNDS rounds every remaining pair of a list across two components is tested. No pair inside a
    component is needed, so the components are exact.
 
-A pair also needs enough tokens that aren't unique: the overlap is at most the smaller of these counts.
+A pair also needs room: at its first common token under an order, the overlap is at most what either
+set has left from there on. A list keeps pairs that have room at its token, so each linked pair passes
+at its first common token, in every order. Near copies whose own words fill the prefix don't.
 Filters and counters have bounded sizes; where they fill up, more documents and tokens stay
 candidates, and the result is the same.
 
@@ -87,7 +89,7 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, percent: int)
 
 
 def _postings(reps: DataFrame, tokens: int, size: int, percent: int) -> DataFrame:
-    """order, token, uid, n, live (tokens that aren't unique), for all prefixes of all orders."""
+    """order, token, uid, n, rest (tokens from this one on), for all prefixes of all orders."""
     bits = power_of_two(2 * tokens, 16, MOST_COUNTER_BITS)
 
     def hashes(batch):
@@ -110,25 +112,26 @@ def _postings(reps: DataFrame, tokens: int, size: int, percent: int) -> DataFram
                 most[n - live >= most] = 0
                 for o in range(ORDERS):
                     order = np.lexsort((mix(grams ^ seeds[o]), rank, row))
-                    order = order[(np.arange(len(order)) - at[row] < most[row]) & (rank[order] > 1)]
+                    place = np.flatnonzero((np.arange(len(order)) - at[row] < most[row]) & (rank[order] > 1))
+                    order = order[place]
                     r = row[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), o), pa.int32()), pa.array(grams[order].view(np.int64)), pa.array(uids[a:b][r]), pa.array(n[r]), pa.array(live[r])], ["order", "token", "uid", "n", "live"])
+                    rest = at[r + 1] - place
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), o), pa.int32()), pa.array(grams[order].view(np.int64)), pa.array(uids[a:b][r]), pa.array(n[r]), pa.array(rest)], ["order", "token", "uid", "n", "rest"])
 
-    return written(reps.select("uid", "text").mapInArrow(prefixes, "order int, token long, uid long, n long, live long"))
+    return written(reps.select("uid", "text").mapInArrow(prefixes, "order int, token long, uid long, n long, rest long"))
 
 
-def _possible(n1: Column, live1: Column, n2: Column, live2: Column, percent: int) -> Column:
-    """Whether sets of these sizes can still reach the threshold."""
-    return (100 + percent) * F.least(live1, live2) >= percent * (n1 + n2)
+def _room(x: str, y: str, percent: int) -> Column:
+    """Whether sets x and y can reach the threshold if this is their first common token."""
+    return (100 + percent) * F.least(f"{x}rest", f"{y}rest") >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
-def _in_all_orders(pairs: DataFrame, post: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every order after the first."""
+def _in_all_orders(pairs: DataFrame, post: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix token with room under every order after the first."""
     for o in range(1, ORDERS):
-        own = post.filter(F.col("order") == o)
-        of_a = pairs.join(own.select(F.col("uid").alias("a"), "token"), "a")
-        shared = of_a.join(own.select(F.col("uid").alias("b"), "token"), ["b", "token"]).select("a", "b").distinct()
-        pairs = shared
+        own = post.filter(F.col("order") == o).select("token", "uid", "n", "rest")
+        of = lambda k: own.withColumnsRenamed({"uid": k, "n": f"{k}_n", "rest": f"{k}_rest"})  # noqa: B023, E731
+        pairs = pairs.join(of("a"), "a").join(of("b"), ["b", "token"]).filter(_room("a_", "b_", percent)).select("a", "b").distinct()
     return pairs
 
 
@@ -164,11 +167,15 @@ def _links(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
 
 
 def _pivot_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each list that has several components, the pivot with the members of other components."""
-    chosen = F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "live", "comp")).alias("p")
+    """In each list that has several components, the pivot with the members of other components.
+
+    The first pivot is the set with most tokens left, later ones are any.
+    """
+    first = -F.col("rest") / F.col("n") if turn == 0 else F.xxhash64("uid", F.lit(turn))
+    chosen = F.min(F.struct(first.alias("h"), "uid", "n", "rest", "comp")).alias("p")
     spread = lists.groupBy("token").agg(chosen, F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m"))
     met = join_on_hot_keys(lists, written(spread.filter("_lo < _hi").select("token", "p", "_m")), "token", "_m")
-    met = met.filter((F.col("comp") != F.col("p.comp")) & _possible(F.col("n"), F.col("live"), F.col("p.n"), F.col("p.live"), percent))
+    met = met.filter((F.col("comp") != F.col("p.comp")) & _room("", "p.", percent))
     return met.select(F.least("uid", "p.uid").alias("a"), F.greatest("uid", "p.uid").alias("b")).distinct()
 
 
@@ -178,7 +185,7 @@ def _remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("token").agg(F.max(F.struct("_k", "comp")).alias("_main"), F.sum("_k").alias("_m"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     met = written(join_on_hot_keys(lists, written(main.select("token", F.col("_main.comp").alias("main"), "_m")), "token", "_m").drop("_m"))
     x, y = met.filter("comp <> main").alias("x"), met.alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _possible(F.col("x.n"), F.col("x.live"), F.col("y.n"), F.col("y.live"), percent)
+    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _room("x.", "y.", percent)
     return x.join(y, cond).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
 
 
@@ -200,7 +207,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        links = _links(written(_in_all_orders(pairs, post)), reps, size, percent)
+        links = _links(written(_in_all_orders(pairs, post, percent)), reps, size, percent)
         if links.isEmpty():
             continue
         of = lambda k, v: labels.select(F.col("uid").alias(k), F.col("comp").alias(v))  # noqa: B023, E731
