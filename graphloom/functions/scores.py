@@ -37,13 +37,22 @@ def _total(signals: Sequence[tuple[str, int, Column]]) -> tuple[Column, Column]:
     return score.cast("int"), F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(label)) for label, _, test in signals)))
 
 
+def _return_type(signature: Column) -> tuple[Column, Column]:
+    """(whether a name stands before the first parenthesis, what precedes it, else all before the parenthesis)."""
+    sig = _text(signature)
+    named = F.rlike(sig, F.lit(r"^[^(]*[A-Za-z0-9_]\s*\("))
+    before = F.substring_index(sig, "(", 1)
+    return named, F.trim(F.when(named, F.regexp_replace(before, r"[A-Za-z0-9_]+\s*$", "")).otherwise(before))
+
+
 def pointer_return(signature: Column) -> Column:
-    """The part before the parameters ends in a star."""
-    return F.rlike(F.substring_index(_text(signature), "(", 1), F.lit(r"\*\s*$"))
+    return _text(signature).contains("(") & _return_type(signature)[1].contains("*")
 
 
 def void_return(signature: Column) -> Column:
-    return F.rlike(F.substring_index(_text(signature), "(", 1), F.lit(r"^\s*(static\s+|inline\s+|extern\s+)*void\s*$"))
+    """The return type is void; without a function name, the first of several words is."""
+    named, before = _return_type(signature)
+    return F.when(named, before == "void").otherwise(F.rlike(F.regexp_replace(before, r"\*", " "), F.lit(r"^\s*void\s+\S")))
 
 
 def pointer_parameter(signature: Column) -> Column:
@@ -55,7 +64,7 @@ def allocator(name: Column, signature: Column, source: Column, words=S.ALLOC_KEY
     body = _text(source)
     call = F.rlike(body, F.lit(_calls(calls)))
     sized = F.exists(parameter_names(signature), lambda p: F.lower(p).isin(*sizes)) | F.rlike(_text(signature), F.lit(f"{_EDGE}size_t{_END}"))
-    null = F.rlike(body, F.lit(r"(==|!=)\s*(NULL|nullptr|0)" + _END + r"|if\s*\(\s*!\s*[A-Za-z_]"))
+    null = F.rlike(body, F.lit(rf"(==|!=)\s*(NULL|0{_END})|!\s*[A-Za-z0-9_]+\s*\)"))
     return _total([
         ("name_keyword", 3, _first_in(F.lower(name), words).isNotNull()),
         ("pointer_return", 3, pointer_return(signature)),

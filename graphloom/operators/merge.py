@@ -128,7 +128,7 @@ def clear(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 class Store:
-    """Versioned Parquet tables: <root>/<table>/v=<n>, with the current version in <root>/<table>/_current."""
+    """Versioned Parquet tables: <root>/<table>/v=<n>, with the current version in <root>/<table>/CURRENT."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -137,7 +137,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int:
-        at = self._path(f"{self.root}/{table}/_current")
+        at = self._path(f"{self.root}/{table}/CURRENT")
         if not self._fs.exists(at):
             return 0
         return int(self.spark.read.text(str(at.toString())).first()[0])
@@ -150,7 +150,7 @@ class Store:
         """df as the next version; readers of the old one aren't disturbed."""
         n = self.version(table) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={n}")
-        out = self._fs.create(self._path(f"{self.root}/{table}/_current"), True)
+        out = self._fs.create(self._path(f"{self.root}/{table}/CURRENT"), True)
         out.write(bytearray(str(n).encode()))
         out.close()
         return n

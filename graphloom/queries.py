@@ -719,12 +719,12 @@ def direct_callees(t):
     return text.direct_callees(t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("source")), known)
 
 
-_SCORED = "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'void *(size_t n, struct ' || p_type || ' *p)' WHEN p_size % 3 = 1 THEN 'void (void *p, int len)' ELSE 'int (void)' END AS sig, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'p = malloc(n); if (!p) return 0; return malloc(n);' WHEN p_size % 5 = 2 THEN 'free(p);' WHEN p_size % 5 = 3 THEN 'self->next = (void *)p;' || chr(10) || 'return self->size;' ELSE '// x->next' || chr(10) || 'h = hash(p) % cap; munmap(len);' END AS src FROM part"
+_SCORED = "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'void *(size_t n, struct ' || p_type || ' *p)' WHEN p_size % 3 = 1 THEN 'void fn(void *p, int len)' ELSE 'int (void)' END AS sig, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'p = malloc(n); if (!p) return 0; return malloc(n);' WHEN p_size % 5 = 2 THEN 'free(p);' WHEN p_size % 5 = 3 THEN 'self->next = (void *)p;' || chr(10) || 'return self->size;' ELSE '// x->next' || chr(10) || 'h = hash(p) % cap; munmap(len);' END AS src FROM part"
 
 
 def _scored(t):
     m3, m5 = F.col("p_size") % 3, F.col("p_size") % 5
-    sig = F.when(m3 == 0, F.concat(F.lit("void *(size_t n, struct "), "p_type", F.lit(" *p)"))).when(m3 == 1, F.lit("void (void *p, int len)")).otherwise(F.lit("int (void)"))
+    sig = F.when(m3 == 0, F.concat(F.lit("void *(size_t n, struct "), "p_type", F.lit(" *p)"))).when(m3 == 1, F.lit("void fn(void *p, int len)")).otherwise(F.lit("int (void)"))
     src = F.when(m5 == 0, "").when(m5 == 1, "p = malloc(n); if (!p) return 0; return malloc(n);").when(m5 == 2, "free(p);").when(m5 == 3, "self->next = (void *)p;\nreturn self->size;").otherwise("// x->next\nh = hash(p) % cap; munmap(len);")
     return t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), sig.alias("sig"), src.alias("src"), "p_size")
 
@@ -735,7 +735,7 @@ def alloc_score(t):
     return s.select("id", scores.allocator(F.col("name"), F.col("sig"), F.col("src"), words=("ring", "widget"))[0].alias("score"))
 
 
-@query(f"WITH s AS ({_SCORED}) SELECT id, CASE WHEN contains(name, 'red') THEN 3 ELSE 0 END + CASE WHEN starts_with(sig, 'void (') THEN 2 ELSE 0 END + CASE WHEN contains(sig, '*p') THEN 2 ELSE 0 END + CASE WHEN contains(src, 'free(') OR contains(src, 'munmap(') THEN 2 ELSE 0 END + CASE WHEN (contains(src, 'free(p)') AND contains(sig, '*p')) OR (contains(src, 'munmap(len)') AND contains(sig, 'int len')) THEN 2 ELSE 0 END AS score FROM s")
+@query(f"WITH s AS ({_SCORED}) SELECT id, CASE WHEN contains(name, 'red') THEN 3 ELSE 0 END + CASE WHEN starts_with(sig, 'void fn(') THEN 2 ELSE 0 END + CASE WHEN contains(sig, '*p') THEN 2 ELSE 0 END + CASE WHEN contains(src, 'free(') OR contains(src, 'munmap(') THEN 2 ELSE 0 END + CASE WHEN (contains(src, 'free(p)') AND contains(sig, '*p')) OR (contains(src, 'munmap(len)') AND contains(sig, 'int len')) THEN 2 ELSE 0 END AS score FROM s")
 def dealloc_score(t):
     s = _scored(t)
     return s.select("id", scores.deallocator(F.col("name"), F.col("sig"), F.col("src"), words=("red",))[0].alias("score"))

@@ -174,7 +174,6 @@ def fenced_json(responses: DataFrame, text: str = "text") -> DataFrame:
     def extract(values: pd.Series) -> pd.Series:
         def repaired(s: str) -> str:
             s = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", s)
-            s = re.sub(r",(\s*[}\]])", r"\1", s)
             need, quoted, i = [], False, 0
             while i < len(s):
                 c = s[i]
@@ -187,7 +186,7 @@ def fenced_json(responses: DataFrame, text: str = "text") -> DataFrame:
                 elif not quoted and c in "}]" and need:
                     need.pop()
                 i += 1
-            return s + ('"' if quoted else "") + "".join(reversed(need))
+            return re.sub(r",(\s*[}\]])", r"\1", s + ('"' if quoted else "") + "".join(reversed(need)))
 
         def one(s):
             if s is None:
