@@ -1,0 +1,129 @@
+"""SentencePiece against the library, brute force and round trips; the secret forest on held-out findings."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from graphloom.llm import secret_scan as X
+from graphloom.llm import sentencepiece as S
+from graphloom.llm.text import utf8
+
+DATA = open(S.MODEL, "rb").read()
+CODEC = S.Codec(DATA)
+
+
+def coded(texts):
+    ids, to = CODEC.encode(*utf8(pa.array(texts, pa.string())))
+    raw, at = CODEC.decode(ids, to)
+    return [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)], [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("the and\n\t  ▁éà日🙂<0xA>/s012-"), max_size=90), st.text(max_size=20)), max_size=6))
+def test_round_trip(texts):
+    assert coded(texts)[1] == [t or "" for t in texts]
+
+
+def library():
+    """The library's own Viterbi over the same pieces and scores."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(DATA)
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    return SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+def test_same_ids_as_the_library():
+    """On short texts without double spaces, where the library's 32-bit sums are exact; it misses a best sum now and then."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlucmfwgé.,") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 8))) for _ in range(1500)]
+    sp = library()
+    total = lambda ids: sum(map(sp.get_score, ids))
+    pairs = list(zip(coded(texts)[0], sp.encode(texts), strict=True))
+    assert all(a == b or total(a) > total(b) for a, b in pairs)
+    assert sum(a != b for a, b in pairs) <= 2
+
+
+def best(word):
+    """Brute force over all segmentations of a short word: the largest sum of scores."""
+    p = CODEC.pieces
+    x = np.array([[ord(c) for c in word]], np.uint64)
+    h = S._rolled(x)
+    score = {}
+    for n in p.by_length:
+        if n <= len(word):
+            s, _ = p.find(S._substrings(h, n), n)
+            score |= {(i, i + n): s[0, i] for i in range(s.shape[1])}
+
+    def go(i):
+        return 0.0 if i == len(word) else max([score[i, j] + go(j) for j in range(i + 1, len(word) + 1) if score.get((i, j), -np.inf) > -np.inf] + [p.unknown + go(i + 1)])
+
+    return go(0)
+
+
+def test_brute_force_and_long_words():
+    rng = random.Random(4)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=DATA)
+    for _ in range(60):
+        word = "▁" + "".join(rng.choice("estingrpoaé日") for _ in range(rng.randrange(1, 9)))
+        ids = coded([word[1:]])[0][0]
+        pieces = [i for i in ids if not sp.is_byte(i)]
+        unknown = sum(c in "日" and all(c not in sp.id_to_piece(i) for i in pieces) for c in word)
+        if unknown == 0:
+            assert sum(sp.get_score(i) for i in ids) == best(word)
+    for n in (47, 48, 49, 300):
+        word = "".join(rng.choice("esting日") for _ in range(n))
+        x = np.array([ord(c) for c in "▁" + word], np.uint64)
+        ids, counts = S._viterbi(x[None, :], CODEC.pieces)
+        assert ids.tolist() == S._viterbi_long(x, CODEC.pieces).tolist() and counts.tolist() == [len(ids)]
+
+
+def test_query(docs):
+    rows = [(1, None), (2, ""), (3, " a  b▁"), (4, "x" * 20_000), (4, "x" * 20_000), (None, "\n")]
+    df = docs(rows)
+    out = S.decode(S.encode(df)).collect()
+    assert all(r.decoded == (r.text or "") for r in out) and out[0]["count"] == "x"
+    assert [r.n_tokens for r in S.report(df).collect()][:2] == [0, 0] and S.report(docs([])).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    rows = X.generated_findings(3000, seed=99)
+    p = X.train().predict(np.array([X.features(*r[:4]) for r in rows]))
+    y = np.array([r[4] for r in rows])
+    assert ((p >= X.THRESHOLD) == y).mean() > 0.97
+
+
+def test_trained_from_a_table(spark):
+    rows = X.generated_findings(800, seed=3)
+    df = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").union(spark.createDataFrame([(None, None, None, None, 1)], "candidate string, before string, after string, path string, label int"))
+    assert 0 <= X.train(df, 500).predict(np.array([X.features("a" * 20, "", "", "")]))[0] <= 1
+
+
+def test_scan(docs):
+    token = "3c4226790fc3f8022bcc4434e93601b2005f1325"
+    texts = [f'ou token = "{token}" of', "card 6717306450380466 text", None, "", f"é {'w ' * 30000}password: 'hunter2horse' end", f'TOKEN = "{token.upper()}"!! x', "commit 3c4226790fc3f8022bcc4434e93601b2005f1325 merged"]
+    got = {r.doc_id: r for r in X.report(docs([(i, t, None, None if i else "src0") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].n_secrets for i in (0, 1, 2, 3, 5)] == [1, 0, 0, 0, 1]
+    s = got[0].secrets[0]
+    assert texts[0][s.start : s.start + s.length] == token
+    assert got[4].n_candidates == 1 and got[1].n_candidates == 1 and got[6].n_secrets == 0
+    assert X.report(docs([])).count() == 0
+
+
+def test_labelled_documents_have_their_tokens(spark):
+    import re
+
+    from .conftest import SF
+
+    d = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")
+    got = {r.doc_id: r.n_secrets for r in X.report(d).collect()}
+    want = {r.doc_id: len(re.findall(r'(?i)token = "[0-9a-f]{40}"', r.text)) for r in d.collect()}
+    assert sum(min(got[i], n) for i, n in want.items()) >= 0.95 * sum(want.values())
+    assert sum(got[i] > n for i, n in want.items()) <= 0.001 * len(want)
