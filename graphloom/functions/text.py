@@ -194,3 +194,9 @@ def cwe_numbers(text: Column) -> Column:
     """Distinct CWE numbers, ascending."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("CWE-([0-9]+)"), 1)
     return F.sort_array(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
+
+
+def line_range(rows: DataFrame, start: int, most: int, key: str = "id") -> DataFrame:
+    """Lines from start on, at most `most` per text, with truncated: whether more follow."""
+    size = F.max("pos").over(Window.partitionBy(key))
+    return rows.withColumn("truncated", size >= start + most).filter((F.col("pos") >= start) & (F.col("pos") < start + most))

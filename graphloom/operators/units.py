@@ -64,3 +64,21 @@ def sources_of_objects(objects: DataFrame, commands: DataFrame, build: str) -> D
     by_stem = commands.groupBy(stem(F.col("file")).alias("stem")).agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("value")).filter("n = 1")
     unique = objects.select("object", stem(F.col("object")).alias("stem")).join(by_stem, "stem").select("object", "value").dropDuplicates(["object"])
     return ranked(objects.select("object").distinct(), [("output", full), ("below", below), ("stem", unique)], "object").select("object", F.col("value").alias("file"), "tier")
+
+
+def assembly_of_objects(objects: DataFrame, commands: DataFrame) -> DataFrame:
+    """(object, file): objects that come from assembly: by their full output path, else by file name (the last command wins)."""
+    asm = commands.filter(F.rlike(F.col("file"), F.lit(r"\.[sS]$"))).withColumn("pos", F.monotonically_increasing_id())
+    full = asm.groupBy(F.col("output").alias("object")).agg(F.max_by("file", "pos").alias("f1"))
+    base = asm.groupBy(paths.base(F.col("output")).alias("b")).agg(F.max_by("file", "pos").alias("f2"))
+    o = objects.select("object").distinct().withColumn("b", paths.base(F.col("object")))
+    return o.join(full, "object", "left").join(base, "b", "left").select("object", F.coalesce("f1", "f2").alias("file")).filter("file is not null")
+
+
+def split_by_key(findings: DataFrame, unavoidable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, unavoidable) findings by their key that doesn't depend on lines."""
+    from ..functions.text import finding_key
+
+    keyed = findings.withColumn("_k", finding_key(F.col("type"), F.col("file"), F.col("pattern")))
+    keys = unavoidable.select(F.col("key").alias("_k")).distinct()
+    return keyed.join(keys, "_k", "left_anti").drop("_k"), keyed.join(keys, "_k", "left_semi").drop("_k")

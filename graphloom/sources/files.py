@@ -129,7 +129,7 @@ def cfg_nodes(texts: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("line", r"^(.*),([0-9]+),([0-9]+):([0-9]+):([CDSRU])((?::[0-9]+)*)$", i)
     rows = lines(texts).filter(part(5) != "")
     follow = F.transform(F.filter(F.split(part(6), ":"), lambda x: x != ""), lambda x: x.cast("long"))
-    return rows.select("path", part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), part(4).cast("long").alias("id"), part(5).alias("kind"), follow.alias("successors"))
+    return rows.select("path", part(1).alias("file"), part(2).try_cast("int").alias("line"), part(3).try_cast("int").alias("column"), part(4).try_cast("long").alias("id"), part(5).alias("kind"), follow.alias("successors"))
 
 
 def asm_functions(texts: DataFrame) -> DataFrame:
@@ -205,3 +205,50 @@ def fenced_json(responses: DataFrame, text: str = "text") -> DataFrame:
         return values.map(one)
 
     return responses.withColumn("json", extract(text))
+
+
+def preprocessed_sources(markers: DataFrame, functions: DataFrame) -> DataFrame:
+    """(id, pp_source): lines that preprocessing made of each function's own, in order. markers: line_markers' output."""
+    f = functions.select("id", F.col("file_path").alias("file"), "line_start", "line_end")
+    met = markers.join(f, "file").filter("line_number between line_start and line_end")
+    ordered = F.array_sort(F.collect_list(F.struct("line_number", "pos", "line")))
+    return met.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("pp_source"))
+
+
+def debug_locations(texts: DataFrame) -> DataFrame:
+    """(path, id, file, line, column): places of blocks in IR text, through chains of scopes to the file.
+
+    Reads `!<n> = !DILocation(line, column, scope)`, scopes that name a file or a parent scope, and `!DIFile`. A chain
+    is walked one step per round, until nobody has a parent left.
+    """
+    from ..storage import written
+
+    rows = lines(texts).select("path", "line", F.regexp_extract("line", r"^!([0-9]+) = ", 1).alias("id")).filter("id <> ''")
+    part = lambda name: F.regexp_extract("line", rf"\b{name}: !?([0-9]+)", 1)
+    text = lambda name: F.regexp_extract("line", rf'\b{name}: "([^"]*)"', 1)
+    names = rows.filter(F.col("line").contains("!DIFile(")).select("path", F.col("id").alias("file_id"), F.concat_ws("/", F.when(text("directory") != "", text("directory")), text("filename")).alias("file"))
+    scopes = rows.filter(F.rlike(F.col("line"), F.lit(r"!DI(Subprogram|LexicalBlock|LexicalBlockFile)\("))).select("path", F.col("id").alias("scope"), part("file").alias("file_id"), part("scope").alias("parent"))
+    places = rows.filter(F.col("line").contains("!DILocation(")).select("path", "id", part("line").try_cast("int").alias("line"), part("column").try_cast("int").alias("column"), part("scope").alias("scope"))
+    scopes, open_, done = written(scopes), written(places), None
+    while not open_.isEmpty():
+        met = written(open_.join(scopes, ["path", "scope"]))
+        found = met.filter("file_id <> ''").select("path", "id", "line", "column", "file_id")
+        done = written(found if done is None else done.union(found))
+        open_ = written(met.filter("file_id = '' and parent <> ''").select("path", "id", "line", "column", F.col("parent").alias("scope")))
+    if done is None:
+        return places.limit(0).select("path", "id", F.lit("").alias("file"), "line", "column")
+    return done.join(names, ["path", "file_id"]).select("path", F.col("id").cast("long").alias("id"), "file", "line", "column")
+
+
+def write_containers(rows: DataFrame, path: str) -> None:
+    """Container results as JSON by project, without those that only a heuristic found."""
+    rows.filter("coalesce(model_used, '') <> 'heuristic_only'").write.mode("overwrite").partitionBy("project").json(path)
+
+
+def validations(verdicts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fingerprint, hypothesis, run): verdicts with the run file whose folder bears their fingerprint; run is null without one.
+
+    texts: whole files (path, source) named .../<fingerprint>/validation_result.json.
+    """
+    runs = texts.select(F.regexp_extract("path", r"([^/]+)/validation_result\.json$", 1).alias("fingerprint"), F.col("source").alias("run")).filter("fingerprint <> ''")
+    return verdicts.join(runs, "fingerprint", "left").select("fingerprint", "hypothesis", "run")

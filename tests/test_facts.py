@@ -273,3 +273,25 @@ def test_stream_of_updates(spark, tmp_path):
     got = []
     dirty.follow(stream, e, lambda: s, lambda df, n: got.extend(r.caller_id for r in df.collect()), str(tmp_path / "c")).awaitTermination(60)
     assert got == [1]
+
+
+def test_more_sources(spark, tmp_path):
+    df = lambda s: spark.createDataFrame([("p", s)], "path string, source string")
+    ir = '!1 = !DIFile(filename: "a.c", directory: "/d")\n!2 = distinct !DISubprogram(name: "f", file: !1, line: 1)\n!3 = !DILexicalBlock(scope: !2, line: 4)\n!4 = !DILocation(line: 5, column: 3, scope: !3)\n!5 = !DILocation(line: 2, column: 1, scope: !2)\n!6 = !DILocation(line: 2, scope: !99)'
+    assert sorted(tuple(r) for r in files.debug_locations(df(ir)).select("id", "file", "line", "column").collect()) == [(4, "/d/a.c", 5, 3), (5, "/d/a.c", 2, 1)]
+    f = spark.createDataFrame([(1, "a.h", 5, 6)], "id long, file_path string, line_start int, line_end int")
+    assert files.preprocessed_sources(files.line_markers(df('# 5 "a.h"\nx\ny\nz\n# 5 "a.h"\nw')), f).first().pp_source == "x\nw\ny"
+    rows = text.line_range(text.lines(spark.createDataFrame([(1, "a\nb\nc\nd")], "id int, source string")), 2, 2).orderBy("pos").collect()
+    assert [(r.line, r.truncated) for r in rows] == [("b", True), ("c", True)]
+    c = spark.createDataFrame([("p1", "f", "x"), ("p1", "g", "heuristic_only")], "project string, function string, model_used string")
+    files.write_containers(c, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).count() == 1
+    v = spark.createDataFrame([("fp1", "safe"), ("fp2", "safe")], "fingerprint string, hypothesis string")
+    t = spark.createDataFrame([("/h/fp1/validation_result.json", "{}")], "path string, source string")
+    assert {r.fingerprint: r.run for r in files.validations(v, t).collect()} == {"fp1": "{}", "fp2": None}
+    cmd = spark.createDataFrame([("/b/x.o", "/s/x.S"), ("/b/y.o", "/s/y.c")], "output string, file string")
+    o = spark.createDataFrame([("/b/x.o",), ("q/x.o",), ("/b/y.o",)], "object string")
+    assert {r.object for r in units.assembly_of_objects(o, cmd).collect()} == {"/b/x.o", "q/x.o"}
+    found = spark.createDataFrame([("inline", "a.c", "asm"), ("ir", "b.ll", None)], "type string, file string, pattern string")
+    kept, gone = units.split_by_key(found, spark.createDataFrame([("ir:b.ll:",)], "key string"))
+    assert (kept.first().type, gone.first().type) == ("inline", "ir")
