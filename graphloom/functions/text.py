@@ -169,31 +169,34 @@ def substitute(text: Column, pairs: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """What stands inside a Markdown code fence, else the text, trimmed."""
-    inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    return F.trim(F.when(inside != "", inside).otherwise(text))
+    """text without a Markdown fence at its ends, trimmed."""
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "^```json", ""), "^```", ""), "```$", ""), r"^\s+|\s+$", "")
 
 
 def url_dir(url: Column) -> Column:
-    """Last path part of a url without .git; null if none."""
-    name = F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "[/:]"), -1), r"\.git$", "")
-    return F.when(name != "", name)
+    """Last path part of a url without .git; null for none."""
+    name = F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
+    return F.when(url != "", F.regexp_replace(name, r"\.git$", ""))
 
 
 def normal_url(url: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.trim(url), "/+$", ""), r"\.git$", "")
-    return F.lower(F.regexp_replace(plain, "^(git|http)://", "https://"))
+    """Without slashes or .git at the end, with https, in lower case; null for none."""
+    plain = F.regexp_replace(F.regexp_replace(url, "/+$", ""), r"\.git$", "")
+    return F.when(url != "", F.lower(F.replace(F.replace(plain, F.lit("git://"), F.lit("https://")), F.lit("http://"), F.lit("https://"))))
 
 
 def section(text: Column, title: str) -> Column:
-    """The body under a Markdown heading of this title, up to the next heading."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^#+\s*{title}\s*$\n(.*?)(?=^#|\z)", 1))
+    """The body under a second-level heading, up to the next one; empty without it."""
+    return F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?s)##\s*{title}\s*\n(.*?)(?=\n##\s|\z)", 1), r"^\s+|\s+$", ""))
 
 
 def cwe_numbers(text: Column) -> Column:
-    """Distinct CWE numbers, ascending."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("CWE-([0-9]+)"), 1)
-    return F.sort_array(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
+    """CWE numbers in order; without any, the bare numbers (`121: ...`) listed under "CWE classification"."""
+    text = F.coalesce(text, F.lit(""))
+    named = F.regexp_extract_all(text, F.lit("CWE-([0-9]+)"), 1)
+    listed = F.regexp_extract_all(F.regexp_extract(text, r"(?s)CWE classification\s*\n(.*?)(?:\n##|\z)", 1), F.lit("(?m)^([0-9]+):"), 1)
+    return F.transform(F.when(F.size(named) > 0, named).otherwise(listed), lambda x: x.cast("int"))
 
 
 def line_range(rows: DataFrame, start: int, most: int, key: str = "id") -> DataFrame:

@@ -71,35 +71,41 @@ def merged_ranges(ranges: DataFrame, key: str, gap: int = 1) -> DataFrame:
     return r.groupBy(key, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
-def warnings_kept(lines: DataFrame, pattern: str, key: str, least_chars: int = 10_000, context: int = 2) -> DataFrame:
-    """Lines of a log near an error; logs shorter than least_chars whole."""
-    size = F.sum(F.length("line") + 1).over(Window.partitionBy(key)) - 1
-    near = Window.partitionBy(key).orderBy("pos").rowsBetween(-context, context)
-    hit = F.max(F.rlike(F.col("line"), F.lit(pattern)).cast("int")).over(near) == 1
-    return lines.withColumns({"_size": size, "_hit": hit}).filter((F.col("_size") < least_chars) | F.col("_hit")).drop("_size", "_hit")
+# What marks an error in a build log.
+ERRORS = "error:|Error:|ERROR:|failed|Failed|FAILED"
+# End of fixed values.
+
+
+def warnings_kept(lines: DataFrame, key: str, pattern: str = ERRORS, least_chars: int = 10_000, context: int = 2, head: int = 20, tail: int = 30) -> DataFrame:
+    """Lines of a log near an error. Without errors its head and tail; logs under least_chars, or no longer than both, whole."""
+    every = Window.partitionBy(key)
+    size = F.sum(F.length("line") + 1).over(every) - 1
+    hit = F.rlike(F.col("line"), F.lit(pattern)).cast("int")
+    rows = lines.withColumns({"_size": size, "_n": F.count(F.lit(1)).over(every), "_any": F.max(hit).over(every), "_near": F.max(hit).over(Window.partitionBy(key).orderBy("pos").rowsBetween(-context, context))})
+    calm = (F.col("_n") <= head + tail) | (F.col("pos") <= head) | (F.col("pos") > F.col("_n") - tail)
+    return rows.filter((F.col("_size") < least_chars) | (F.col("_near") == 1) | (F.col("_any") == 0) & calm).drop("_size", "_n", "_any", "_near")
 
 
 def grouped_spans(spans: DataFrame, least: int = 10, key: str = "function_id") -> DataFrame:
-    """(key, start, end): neighbouring spans joined until a group has `least` lines.
+    """(key, start, end): short neighbouring spans joined until their own lines make `least`; long spans stand alone.
 
-    The size so far decides where a group ends, so it's a fold over a function's spans, in order.
+    The lines so far decide where a group ends, so it's a fold over a function's spans, in order.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[list[int]] = []
-        open_ = False
+        size = least
         for start, end in rows.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
-            if open_:
+            own = end - start + 1
+            if size < least and own < least:
                 out[-1][1] = max(out[-1][1], end)
+                size += own
             else:
                 out.append([start, end])
-            open_ = out[-1][1] - out[-1][0] + 1 < least
-        if open_ and len(out) > 1:
-            last = out.pop()
-            out[-1][1] = max(out[-1][1], last[1])
+                size = own
         return pd.DataFrame({key: rows[key].iloc[0], "start": [a for a, _ in out], "end": [b for _, b in out]})
 
-    return spans.select(key, F.col("start").cast("long"), F.col("end").cast("long")).groupBy(key).applyInPandas(fold, f"{key} long, start long, end long")
+    return spans.filter("end >= start").select(key, F.col("start").cast("long"), F.col("end").cast("long")).groupBy(key).applyInPandas(fold, f"{key} long, start long, end long")
 
 
 def nested_blocks(texts: DataFrame, opens: str, middles: str, closes: str, key: str = "id") -> DataFrame:

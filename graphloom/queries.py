@@ -703,9 +703,9 @@ def label_intervals(t):
     return transcript.until_next(a, F.col("m"), "pos", "id").select("id", F.col("pos").alias("start"), "end")
 
 
-@query(f"WITH {TEXTS}, {LINES}, z AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id) - 1 AS size, max(CASE WHEN regexp_matches(line, '[0-9]{{6,}}') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines) SELECT id, pos FROM z WHERE size < 2000 OR near = 1")
+@query(f"WITH {TEXTS}, {LINES}, z AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id) - 1 AS size, count(*) OVER (PARTITION BY id) AS n, max(CASE WHEN regexp_matches(line, '[0-9]{{6,}}') THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS seen, max(CASE WHEN regexp_matches(line, '[0-9]{{6,}}') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines) SELECT id, pos FROM z WHERE size < 2000 OR near = 1 OR (seen = 0 AND (n <= 5 OR pos <= 2 OR pos > n - 3))")
 def warnings_kept(t):
-    return transcript.warnings_kept(text.lines(t.texts.select("id", "source")), "[0-9]{6,}", "id", 2000).select("id", "pos")
+    return transcript.warnings_kept(text.lines(t.texts.select("id", "source")), "id", "[0-9]{6,}", 2000, head=2, tail=3).select("id", "pos")
 
 
 @query("SELECT page_id AS id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN ('if', 'while', 'for', 'switch', 'return', 'sizeof', 'typeof', 'alignof', 'offsetof', 'defined')))), ',') AS names FROM pages")
@@ -764,7 +764,7 @@ def path_suffix(t):
     return t.pages.select("page_id", "url", paths.suffix(F.col("url"), 2).alias("tail"))
 
 
-@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '/+$', ''), '\\.git$', ''), '^(git|http)://', 'https://')) AS url FROM pages")
+@query("SELECT page_id, lower(replace(replace(regexp_replace(regexp_replace(url, '/+$', ''), '\\.git$', ''), 'git://', 'https://'), 'http://', 'https://')) AS url FROM pages")
 def normal_urls(t):
     return t.pages.select("page_id", text.normal_url(F.col("url")).alias("url"))
 

