@@ -34,6 +34,7 @@ MARK = 0x2581
 _LITERAL = 0x110000  # a mark character of the text itself
 _LONG = 48
 _KEPT = 1 << 19
+_SLICE = 1 << 18  # bytes of text at a time
 _BASE = int(seeded(1, 733)[0])
 
 
@@ -208,7 +209,7 @@ class Codec:
         parts, size = [self.tokens], len(self.tokens)
         for length in np.unique(n).tolist():
             where = np.flatnonzero(n == length)
-            step = max(1, (1 << 18) // length) if length <= _LONG else 1
+            step = max(1, (1 << 16) // length) if length <= _LONG else 1
             for k in range(0, len(where), step):
                 some = where[k : k + step]
                 if length <= _LONG:
@@ -270,22 +271,29 @@ class Codec:
         return np.delete(raw, at[:-1][full]), at - np.concatenate([[0], np.cumsum(full)])
 
 
-def encode(df: DataFrame, text_col: str = "text", model: str | bytes = MODEL) -> DataFrame:
-    """df with token_ids array<int>."""
+def encode(df: DataFrame, text_col: str = "text", model: str | bytes = MODEL, decoded: bool = False) -> DataFrame:
+    """df with token_ids array<int>; with decoded, also the text that these ids decode to, in the same pass."""
     data = df.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
     names = df.columns
     where = names.index(text_col)
+    more = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded]
 
     def apply(batches):
         codec = Codec(data.value)
         for batch in batches:
             raw, at = utf8(batch.column(where))
-            for a, b in slices(at):
+            for a, b in slices(at, _SLICE):
                 ids, to = codec.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                own = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, own], [*names, "token_ids"])
+                own = [pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    own.append(_strings(*codec.decode(ids, to)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *own], [*names, *(f.name for f in more)])
 
-    return df.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(apply, T.StructType([*df.schema.fields, *more]))
+
+
+def _strings(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", model: str | bytes = MODEL) -> DataFrame:
@@ -300,9 +308,8 @@ def decode(df: DataFrame, ids_col: str = "token_ids", model: str | bytes = MODEL
             own = batch.column(where)
             at = np.concatenate([[0], np.cumsum(np.asarray(own.value_lengths().fill_null(0)))]).astype(np.int64)
             flat = np.asarray(own.flatten(), np.int64)
-            for a, b in slices(at * 4):
-                raw, to = codec.decode(flat[at[a] : at[b]], at[a : b + 1] - at[a])
-                text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(to)), pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
+            for a, b in slices(at * 4, _SLICE):
+                text = _strings(*codec.decode(flat[at[a] : at[b]], at[a : b + 1] - at[a]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, text], [*names, "decoded"])
 
     return df.mapInArrow(apply, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
@@ -310,5 +317,5 @@ def decode(df: DataFrame, ids_col: str = "token_ids", model: str | bytes = MODEL
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded_sha256 (of the text decoded from the ids)."""
-    out = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    out = encode(docs.select("doc_id", "text"), decoded=True)
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
