@@ -654,7 +654,7 @@ def line_excerpt(t):
     return text.excerpt(df, F.array(F.lit("token"), F.lit("x")), 1)
 
 
-@query("SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations")
+@query("SELECT conv_id, turn, (length(text) // 4)::INT AS tokens FROM conversations")
 def token_estimate(t):
     return t.conversations.select("conv_id", "turn", text.tokens(F.col("text")).alias("tokens"))
 

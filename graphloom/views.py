@@ -64,4 +64,4 @@ SUMMARIES = "summaries AS (SELECT o_custkey AS function_id, max(o_orderdate) AS
 ISSUES = "issues AS (SELECT user_id AS function_id, event_id AS issue_index, event_type AS issue_kind, event_id::VARCHAR AS location, props AS description, value, substr(sha256(event_type || '|' || event_id || '|' || substr(props, 1, 80)), 1, 16) AS fingerprint FROM events)"
 REVIEWS = "reviews AS (SELECT function_id, fingerprint AS issue_fingerprint, CASE issue_kind WHEN 'error' THEN 'confirmed' WHEN 'click' THEN 'pending' ELSE 'false_positive' END AS status, 'r' || location AS reason FROM issues WHERE value > 20)"
 TEXTS = "texts AS (SELECT doc_id AS id, 'doc_' || doc_id AS name, lang AS signature, source AS file_path, text AS source FROM documents)"
-LINES = "l0 AS (SELECT id, string_split(regexp_replace(regexp_replace(source, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS ls FROM texts), lines AS (SELECT id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l0)"
+LINES = "l0 AS (SELECT id, string_split(regexp_replace(regexp_replace(source, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS ls FROM texts), lines AS (SELECT id, unnest(range(1, len(ls) + 1))::INT AS pos, unnest(ls) AS line FROM l0)"
