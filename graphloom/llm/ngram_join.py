@@ -10,8 +10,8 @@ ranks shingles; under any order, linked sets share a token among their first n -
 3. Token counts among the representatives (bounded counters) refine the orders: rare first, then by
    a hash of each order's own. Prefix tokens are written as postings; unique ones are left out.
 4. Rounds link classes without pairing all members of a list: a list's pivot meets its other members,
-   candidates that pass all orders are verified on whole texts, and components are joined. After
-   ROUNDS rounds every remaining pair of a list across two components is tested. No pair inside a
+   candidates that pass all orders are verified on whole texts, and components are joined. After a round
+   without links, or ROUNDS of them, every remaining pair of a list across two components is tested. No pair inside a
    component is needed, so the components are exact.
 
 A pair also needs room: at its first common token under an order, the overlap is at most what either
@@ -40,7 +40,7 @@ from .components import components
 from .text import mix, seeded, shingle_sets, slices, utf8
 
 ORDERS = 3
-ROUNDS = 2
+ROUNDS = 3
 #: Partners that one task compares with a pivot; a pivot with more is dealt to several tasks.
 PARTNERS = 512
 
@@ -127,12 +127,20 @@ def _room(x: str, y: str, percent: int) -> Column:
 
 
 def _in_all_orders(pairs: DataFrame, post: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token with room under every order after the first."""
+    """The pairs (a, b) that share a prefix token with room under every order after the first.
+
+    A set's prefixes are one row of arrays, so a pair stays one row however many tokens it shares.
+    """
+    entry = F.struct("token", "n", "rest")
+    prefixes = post.filter("order > 0").groupBy("uid").agg(*(F.collect_list(F.when(F.col("order") == o, entry)).alias(f"p{o}") for o in range(1, ORDERS)))
+    of = lambda k: prefixes.select(F.col("uid").alias(k), *(F.col(f"p{o}").alias(f"{k}{o}") for o in range(1, ORDERS)))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
     for o in range(1, ORDERS):
-        own = post.filter(F.col("order") == o).select("token", "uid", "n", "rest")
-        of = lambda k: own.withColumnsRenamed({"uid": k, "n": f"{k}_n", "rest": f"{k}_rest"})  # noqa: B023, E731
-        pairs = pairs.join(of("a"), "a").join(of("b"), ["b", "token"]).filter(_room("a_", "b_", percent)).select("a", "b").distinct()
-    return pairs
+        room = lambda x, y: (x["token"] == y["token"]) & ((100 + percent) * F.least(x["rest"], y["rest"]) >= percent * (x["n"] + y["n"]))
+        shared = F.array_intersect(F.transform(f"a{o}", lambda x: x["token"]), F.transform(f"b{o}", lambda x: x["token"]))
+        own = lambda c: F.filter(c, lambda x: F.array_contains(shared, x["token"]))  # noqa: B023, E731
+        met = met.filter(F.exists(own(f"a{o}"), lambda x: F.exists(own(f"b{o}"), lambda y: room(x, y))))  # noqa: B023
+    return met.select("a", "b")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -167,15 +175,21 @@ def _links(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
 
 
 def _pivot_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each list that has several components, the pivot with the members of other components.
+    """In each list that has several components, a pivot with the members of other components.
 
-    The first pivot is the set with most tokens left, later ones are any.
+    The first pivot is the set with the largest share of tokens left. Later turns take such a set from outside
+    that one's component, so that each turn can gather one more cluster of the list.
     """
-    first = -F.col("rest") / F.col("n") if turn == 0 else F.xxhash64("uid", F.lit(turn))
-    chosen = F.min(F.struct(first.alias("h"), "uid", "n", "rest", "comp")).alias("p")
-    spread = lists.groupBy("token").agg(chosen, F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m"))
-    met = join_on_hot_keys(lists, written(spread.filter("_lo < _hi").select("token", "p", "_m")), "token", "_m")
-    met = met.filter((F.col("comp") != F.col("p.comp")) & _room("", "p.", percent))
+    best = F.min(F.struct((-F.col("rest") / F.col("n")).alias("l"), F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "rest", "comp"))
+    first = F.min(F.struct((-F.col("rest") / F.col("n")).alias("l"), F.xxhash64("uid", F.lit(0)).alias("h"), "comp"))["comp"]
+    sizes = lists.groupBy("token").agg(first.alias("main"), best.alias("p"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m")).filter("_lo < _hi")
+    sizes = written(sizes.drop("_lo", "_hi"))
+    rows = join_on_hot_keys(lists, sizes, "token", "_m")
+    if turn:
+        rows = written(rows.drop("p"))
+        others = rows.filter("comp <> main").groupBy("token").agg(best.alias("p"), F.first("_m").alias("_m"))
+        rows = join_on_hot_keys(rows.drop("_m"), written(others), "token", "_m")
+    met = rows.filter((F.col("comp") != F.col("p.comp")) & _room("", "p.", percent))
     return met.select(F.least("uid", "p.uid").alias("a"), F.greatest("uid", "p.uid").alias("b")).distinct()
 
 
@@ -200,7 +214,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     labels = classes.select(F.col("rep").alias("uid"), F.col("rep").alias("comp"))
     tested: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
+    turn = 0
+    while turn <= ROUNDS:
         lists = written(post.filter("order = 0").join(labels, "uid"))
         pairs = _pivot_pairs(lists, turn, percent) if turn < ROUNDS else _remaining_pairs(lists, percent)
         if tested is not None:
@@ -208,7 +223,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         pairs = written(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         links = _links(written(_in_all_orders(pairs, post, percent)), reps, size, percent)
-        if links.isEmpty():
+        stuck = links.isEmpty()
+        turn = ROUNDS if stuck and turn < ROUNDS else turn + 1  # without progress, on to all that remain
+        if stuck:
             continue
         of = lambda k, v: labels.select(F.col("uid").alias(k), F.col("comp").alias(v))  # noqa: B023, E731
         roots = components(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
