@@ -107,6 +107,19 @@ def test_band_rejects_gibberish(docs):
     assert not got.pop(999) and all(got.values())
 
 
+def test_each_edge_of_the_band_rejects(docs):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    share = [1 / (i + 1) for i in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary, share, k=200)), "en") for i in range(150)]
+    rows += [(998, " ".join(rng.choice(vocabulary[:12]) for _ in range(200)), "en"), (999, " ".join(rng.choice(vocabulary[100:]) for _ in range(200)), "en")]
+    got = {r.doc_id: r for r in R.judge(docs(rows)).collect()}
+    low, high = got.pop(998), got.pop(999)
+    assert not low.base_failed and low.log_perplexity < low.band_low and not low.kept
+    assert not high.base_failed and high.log_perplexity > high.band_high and not high.kept
+    assert sum(r.kept for r in got.values()) > 0.97 * len(got)
+
+
 def test_rules_empty(docs):
     assert R.report(docs([])).count() == 0
 
