@@ -107,6 +107,56 @@ def test_band_rejects_gibberish(docs):
     assert not got.pop(999) and all(got.values())
 
 
+def word_model(texts):
+    """The plain model again, of order 3 over the words of whole texts."""
+    raw = [Counter() for _ in range(3)]
+    for t in filter(words, texts):
+        s = ("<s>", *words(t), "<s>")
+        for i in range(1, len(s)):
+            raw[min(i, 2)][s[i - min(i, 2) : i + 1]] += 1
+    count = [None, None, raw[2]]
+    for k in (1, 0):
+        count[k] = raw[k] + Counter(g[1:] for g in count[k + 1])
+    clip = lambda x, most: max(0.1, min(x, most))
+    discounts, ctx = [], []
+    for c in count:
+        n = [max(1, sum(v == i for v in c.values())) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        discounts.append([clip(1 - 2 * y * n[1] / n[0], 0.9), clip(2 - 3 * y * n[2] / n[1], 1.9), clip(3 - 4 * y * n[3] / n[2], 2.9)])
+        ctx.append(defaultdict(list))
+        for g, v in c.items():
+            ctx[-1][g[:-1]].append(v)
+
+    def p(gram):
+        k = len(gram) - 1
+        d = lambda v: discounts[k][min(v, 3) - 1]
+        lower = p(gram[1:]) if k else 1 / (len(count[0]) + 1)
+        seen, v = ctx[k].get(gram[:-1]), count[k][gram]
+        return lower if not seen else (v - d(v) + sum(map(d, seen)) * lower) / sum(seen) if v else sum(map(d, seen)) * lower / sum(seen)
+
+    return p
+
+
+def test_word_perplexity_sees_the_order_of_words(docs):
+    rng = random.Random(8)
+    texts = TEXTS + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60))) for _ in range(30)]
+    texts += [texts[-1], " ".join(reversed(words(texts[-1])))]
+    langs = [None if i % 7 == 0 else "en" if i % 2 else "fr" for i in range(len(texts))]
+    langs[-3:] = ["en"] * 3
+    df = docs([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))])
+    half = {r.doc_id: r.h % 2 for r in df.selectExpr("doc_id", "xxhash64(coalesce('.' || lang, '') || '\n' || coalesce(text, '')) AS h").collect()}
+    kinds = [(x, half[i]) for i, x in enumerate(langs)]
+    of = {x: word_model([t for t, y in zip(texts, kinds, strict=True) if x == y]) for x in set(kinds)}
+    got = {r.doc_id: r for r in R.judge(df.repartition(3)).collect()}
+    for i, (t, x) in enumerate(zip(texts, kinds, strict=True)):
+        s = ("<s>", *words(t), "<s>")
+        want = [math.log(of[x[0], 1 - x[1]](s[max(0, j - 2) : j + 1])) for j in range(1, len(s))] if words(t) else []
+        assert got[i].word_log_perplexity == (pytest.approx(-sum(want) / len(want), abs=1e-6) if want else None)
+    *_, one, copy, turned = (got[i] for i in range(len(texts)))
+    assert one.word_log_perplexity == pytest.approx(copy.word_log_perplexity) and one.word_log_perplexity != pytest.approx(turned.word_log_perplexity, abs=1e-3)
+    assert one.log_perplexity == pytest.approx(turned.log_perplexity)
+
+
 def test_each_edge_of_the_band_rejects(docs):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
