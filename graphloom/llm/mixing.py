@@ -89,9 +89,13 @@ def _with_plan(rows: DataFrame, source: Column, blocks: DataFrame) -> DataFrame:
 _CUT = "partial > 0 and partial < words"
 
 
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _layout(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(docs: doc_id, source, _key, size; sources; block plans; cut: documents of blocks that are taken in part, with last)."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"))
     docs = written(docs.withColumns({"_key": _key(F.col("doc_id")), "_row": F.monotonically_increasing_id()}))
     sources = written(targets(docs))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -148,7 +152,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sort by shuffle_key inside each shard, e.g. repartition("shard").sortWithinPartitions("shuffle_key").
     A document that crosses its source's target ends after the last word taken; one per source at most. Rows meet
-    the block plans where they are; only those of blocks taken in part are joined by id.
+    the block plans where they are; only those of blocks taken in part are joined by source, id, size and their place
+    among the rows that share these. Such rows are alike to the plan, so any order among them gives the same totals;
+    by text it gives the same mix again.
     """
     _, sources, plans, cut = _layout(df, id_col, text_col, source_col)
     names = {c: f"_m{i}" for i, c in enumerate(df.columns)}  # so that no name clashes
@@ -157,8 +163,14 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = _with_plan(rows, source_, plans.filter(f"not ({_CUT})"))
     size = F.lit(None).cast("long")
     whole = whole.withColumns({"last": F.when(F.col("partial") > 0, F.lit(-1).cast("long")), "_size": size})
-    own = cut.groupBy(F.col("doc_id").alias("_id")).agg(F.first("last").alias("last"), F.first("size").alias("_size"))
-    some = _with_plan(rows, source_, plans.filter(_CUT)).join(own, id_.eqNullSafe(F.col("_id"))).drop("_id")
+    alike = lambda *key: Window.partitionBy(*key, "_size")
+    nth = F.row_number().over(alike("source", "doc_id").orderBy(F.desc("last"), "_row"))
+    own = cut.withColumnRenamed("size", "_size").select(F.col("source").alias("_s3"), F.col("doc_id").alias("_id"), "last", "_size", nth.alias("_nth"))
+    own = own.withColumnsRenamed({"_size": "_size1", "_nth": "_nth1"})
+    some = _with_plan(rows, source_, plans.filter(_CUT)).withColumn("_size", _size(text_))
+    some = some.withColumn("_nth", F.row_number().over(alike(source_, id_).orderBy(F.xxhash64(text_), text_)))
+    some = some.join(own, source_.eqNullSafe(F.col("_s3")) & id_.eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_size1")) & (F.col("_nth") == F.col("_nth1")))
+    some = some.drop("_s3", "_id", "_size1", "_nth", "_nth1")
     some = some.withColumn("last", F.when(F.col("last") > 0, F.col("last")))
     taken = whole.unionByName(some).withColumn("_part", F.explode(_parts(F.lit(-1).cast("long"))))
     pieces = F.split(text_, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

@@ -96,3 +96,20 @@ def test_mixing_edges(docs):
     assert mixing.report(docs([])).count() == 0
     got = mixing.report(docs([(1, None, None, None), (2, "", None, "a")])).collect()
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in got} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_mixed_takes_rows_as_planned_with_null_and_repeated_ids(docs):
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else i // 4, " ".join(f"{s}{i}w{k}" for k in range(rng.randrange(1, 40))), None, s) for s in "abc" for i in range(90)]
+    rows += [(None, "same text of six words here", None, "b")] * 20
+    df = docs(rows).repartition(3)
+    taken = Counter()
+    for r in mixing.plan(df).collect():
+        taken[r.source] += r.taken
+    got = mixing.mixed(df).collect()
+    words, texts = Counter(), {t for _, t, *_ in rows}
+    cut = Counter(r.source for r in got if r.text not in texts)
+    for r in got:
+        words[r.source] += len(r.text.split())
+    assert words == taken and max(cut.values(), default=0) <= 1
+    assert sorted((r.source, r.text) for r in mixing.mixed(docs(rows[::-1])).collect()) == sorted((r.source, r.text) for r in got)
