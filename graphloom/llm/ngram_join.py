@@ -60,9 +60,10 @@ def _per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n, digest and text (both only where a partner is possible), uid."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, uid_col: str | None) -> DataFrame:
+    """doc_id, n, digest and text (both only where a partner is possible), uid (of uid_col, if given)."""
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), uid.alias("uid"))
     bits = power_of_two(1.5 * stored_bytes(docs, "text") / 6, LEAST_BITS, MOST_BITS)
 
     def hashes(batch):
@@ -82,10 +83,9 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, size: int, percent: int)
                 digest += [hashlib.blake2b(grams[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if s else None for i, s in enumerate(stays)]
                 part = batch.column(1).slice(a, b - a)
                 text += [part[i].as_py() if s else None for i, s in enumerate(stays)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(digest, pa.binary()), pa.array(text, pa.string())], ["doc_id", "n", "digest", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(digest, pa.binary()), pa.array(text, pa.string()), batch.column(2)], ["doc_id", "n", "digest", "text", "uid"])
 
-    found = docs.mapInArrow(probe, "doc_id long, n long, digest binary, text string")
-    return written(found.withColumn("uid", F.monotonically_increasing_id()))
+    return written(docs.mapInArrow(probe, "doc_id long, n long, digest binary, text string, uid long"))
 
 
 def _postings(reps: DataFrame, tokens: int, size: int, percent: int) -> DataFrame:
@@ -205,7 +205,12 @@ def _remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, kept (one row of each component)."""
-    docs = _prepare(df, id_col, text_col, size, percent)
+    return _labelled(df, id_col, text_col, size, percent).drop("uid")
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, uid_col: str | None = None) -> DataFrame:
+    """The rows of groups, with uid: the row's number, of uid_col if given."""
+    docs = _prepare(df, id_col, text_col, size, percent, uid_col)
     open_ = docs.filter("digest is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = written(open_.groupBy("digest").agg(F.min("uid").alias("rep"), first, F.count(F.lit(1)).alias("members"), F.first("n").alias("n")))
@@ -236,12 +241,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     best = labelled.groupBy("comp").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("_m"))
     of_class = join_on_hot_keys(written(labelled.select("digest", "members", "comp")), written(best), "comp", "_m").select("digest", "members", "best")
     met = join_on_hot_keys(open_.drop("text"), written(of_class), "digest", "members")
-    alone = docs.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return alone.union(met.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept")))
+    alone = docs.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "uid")
+    return alone.union(met.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept"), "uid"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each component; rows that share an id stay or go together."""
-    found = groups(df, id_col, text_col)
-    dropped = found.groupBy("doc_id").agg(F.bool_or("kept").alias("_k")).filter("not _k and doc_id is not null").select(F.col("doc_id").alias("_dropped"))
-    return df.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """df with one row of each component, whatever the ids; rows without words stay."""
+    rows = written(df.withColumn("_uid", F.monotonically_increasing_id()))
+    dropped = _labelled(rows, id_col, text_col, 5, 80, "_uid").filter("not kept").select(F.col("uid").alias("_uid"))
+    return rows.join(dropped, "_uid", "left_anti").select(*df.columns)

@@ -120,6 +120,14 @@ def test_near_edges(docs):
     assert got == [(0, 59996, 1), (1, 59996, 1), (2, 59997, 1), (2, 59997, 1), (7, 0, 7)]
 
 
+def test_near_copies_go_by_row(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " x"), (None, "other " * 3), (5, text), (5, text), (7, text + " y"), (None, None), (None, None), (8, "a b"), (8, "a b")]
+    left = ngram_join.drop_near_copies(docs(rows)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in left) == [(0, ""), (0, ""), (0, "other"), (5, "w0 w1"), (8, "a b")]
+    assert left[0]["count"] == "x"
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
