@@ -13,6 +13,8 @@ ranks shingles; under any order, linked sets share a token among their first n -
    candidates that pass all orders are verified on whole texts, and components are joined. After a round
    without links, or ROUNDS of them, every remaining pair of a list across two components is tested. No pair inside a
    component is needed, so the components are exact.
+5. For the links themselves, every pair of a list inside a component is tested too. Lists and components are dealt
+   to units of two blocks of about BLOCK members, so no task holds more, and a text travels once a unit, not once a pair.
 
 A pair also needs room: at its first common token under an order, the overlap is at most what either
 set has left from there on. A list keeps pairs that have room at its token, so each linked pair passes
@@ -28,6 +30,7 @@ A null id counts for component_id only where its component has no other. Other c
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ ORDERS = 3
 ROUNDS = 3
 #: Partners that one task compares with a pivot; a pivot with more is dealt to several tasks.
 PARTNERS = 512
+#: Members of a block, of a list or of a component, in the search for all links.
+BLOCK = 256
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -205,11 +210,65 @@ def _remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, kept (one row of each component)."""
-    return _labelled(df, id_col, text_col, size, percent).drop("uid")
+    return _labelled(df, id_col, text_col, size, percent).drop("uid", "n_links")
 
 
-def _labelled(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, uid_col: str | None = None) -> DataFrame:
-    """The rows of groups, with uid: the row's number, of uid_col if given."""
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows once for each unit of its key that they are in: columns lo and hi (blocks), own (the row's block).
+
+    A key of m rows has ceil(m / BLOCK) blocks; each two blocks, and each block by itself, are a unit.
+    """
+    sizes = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"))
+    met = join_on_hot_keys(rows, sizes, key, "_m").withColumn("_k", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(5)), "_k").cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return met.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_m", "_k", "_other")
+
+
+def _inner_links(post: DataFrame, labels: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b), a < b, of classes inside a component whose sets reach the threshold."""
+    lists = written(post.filter("order = 0").join(labels, "uid").withColumn("list", F.xxhash64("token", "comp")))
+    rows = _dealt(lists, "list").select("list", "lo", "hi", "own", "token", "comp", "uid", "n", "rest")
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("list", "lo", "hi", "token", "comp")]
+    # Two rows of a block meet in its own unit only.
+    once = (F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi"))
+    met = x.join(y, reduce(Column.__and__, same) & (F.col("x.uid") < F.col("y.uid")) & once & _room("x.", "y.", percent))
+    pairs = written(met.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+    pairs = written(_in_all_orders(pairs, post, percent))
+
+    involved = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    members = written(_dealt(written(labels.join(involved, "uid")), "comp"))
+    block = members.select("uid", "comp", "own").distinct()
+    of = lambda k: block.select(F.col("uid").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("own").alias(f"own_{k}"))
+    asked = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("comp"), F.least("own_a", "own_b").alias("lo"), F.greatest("own_a", "own_b").alias("hi"), "a", "b")
+    texts = members.join(reps.select("uid", "text"), "uid").select("comp", "lo", "hi", "uid", "text")
+
+    def compare(asked: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = {}
+        uids = texts["uid"].to_pylist()
+        if asked.num_rows:
+            for a, b, grams, at in _sets(texts["text"].combine_chunks(), size):
+                sets.update((uids[i], grams[at[i - a] : at[i - a + 1]]) for i in range(a, b))
+        left, right = [], []
+        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                left.append(a)
+                right.append(b)
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    unit = ("comp", "lo", "hi")
+    return written(asked.groupBy(*unit).cogroup(texts.groupBy(*unit)).applyInArrow(compare, "a long, b long"))
+
+
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id, n_links (rows that it links to)."""
+    return _labelled(df, id_col, text_col, size, percent, count=True).drop("uid", "kept")
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, uid_col: str | None = None, count: bool = False) -> DataFrame:
+    """The rows of groups, with uid: the row's number, of uid_col if given; with count, also n_links."""
     docs = _prepare(df, id_col, text_col, size, percent, uid_col)
     open_ = docs.filter("digest is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
@@ -238,11 +297,18 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
         labels = written(joined.select("uid", F.coalesce("root", "comp").alias("comp")))
 
     labelled = classes.join(labels.withColumnRenamed("uid", "rep"), "rep")
+    n_links = F.lit(None).cast("long")
+    if count:
+        links = _inner_links(post, labels, reps, size, percent)
+        both = links.union(links.select("b", "a")).join(classes.select(F.col("rep").alias("b"), "members"), "b")
+        labelled = labelled.join(both.groupBy(F.col("a").alias("rep")).agg(F.sum("members").alias("n_links")), "rep", "left")
+        n_links = F.coalesce("n_links", F.lit(0).cast("long")) + F.col("members") - 1
+    labelled = written(labelled.withColumn("n_links", n_links))
     best = labelled.groupBy("comp").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("_m"))
-    of_class = join_on_hot_keys(written(labelled.select("digest", "members", "comp")), written(best), "comp", "_m").select("digest", "members", "best")
+    of_class = join_on_hot_keys(written(labelled.select("digest", "members", "comp", "n_links")), written(best), "comp", "_m").select("digest", "members", "best", "n_links")
     met = join_on_hot_keys(open_.drop("text"), written(of_class), "digest", "members")
-    alone = docs.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "uid")
-    return alone.union(met.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept"), "uid"))
+    alone = docs.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "uid", F.lit(0).cast("long").alias("n_links"))
+    return alone.union(met.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept"), "uid", "n_links"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

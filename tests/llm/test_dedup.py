@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from graphloom.llm import exact_dedup, line_dedup, ngram_join
 from graphloom.llm.components import components
 
@@ -128,6 +130,21 @@ def test_near_copies_go_by_row(docs):
     assert left[0]["count"] == "x"
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_counts_all_links(docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(9)
+    texts = [t for n, w, e in [(40, 80, 6), (20, 200, 14), (10, 40, 3)] for t in copies(rng, n, w, e)]
+    texts += [texts[0]] * 3 + ["a b", "A  B", "", None, *(" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(10))]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: sum(linked(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in ngram_join.report(docs(list(enumerate(texts)))).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
