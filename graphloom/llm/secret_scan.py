@@ -1,6 +1,7 @@
 """Secret scan: pattern candidates, then a random forest that removes false positives.
 
-Candidates are known key formats, values assigned to a name, and long runs of key characters. The
+Candidates are known key formats, values of six characters or more assigned to a name (with or without quotes, up
+to white space), and long runs of key characters with a digit. Whether one is a secret is left to the forest. The
 forest sees the candidate's length, character classes and transitions, the share covered by dictionary
 words, its path (the source name) and neighbouring words. It is trained from labelled findings:
 (candidate, before, after, path, label) rows. Findings may be given as a table; at most SAMPLE of
@@ -34,8 +35,8 @@ AROUND = 40
 
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "client_secret", "key")
 _FORMATS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-CANDIDATE = re.compile(rf"(?:{_FORMATS})|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}={{0,2}}(?![A-Za-z0-9+/_=-])")
-ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|credential)["']?\s{0,3}(?:=|:|=>)\s{0,3}["']([^"'\s]{6,256})["']""")
+CANDIDATE = re.compile(rf"(?P<format>{_FORMATS})|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|credential)["']?\s{0,3}(?:=>|=|:)\s{0,3}(?:"(?P<double>[^"\s]{6,})"|'(?P<single>[^'\s]{6,})'|(?P<bare>[^"'\s][^\s]{5,}))""")
 _DIGIT = re.compile(r"[0-9]")
 #: Common words; the share of a candidate that they cover tells names from keys.
 WORDS = frozenset("the and for that with this from have are was were will would there their what about which when make like time just know take people into year your good some could them other than then look only come over think also back after work first well even want because any these give day most file name path class function index value table column data user test example version update config default module import return public static string number object array image page link http https www com org net html json text line list item group order date length width height color style content header footer button input form".split())
@@ -44,8 +45,8 @@ PATHS = ("test", "example", "sample", "doc", "mock", "fixture", "config", "env",
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Spans in order, without overlaps."""
-    found = {m.span(1) for m in ASSIGNED.finditer(text)}
-    found |= {m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]) or m[0].startswith("-----")}
+    found = {m.span(m.lastgroup) for m in ASSIGNED.finditer(text)}
+    found |= {m.span() for m in CANDIDATE.finditer(text) if m["format"] or _DIGIT.search(m[0])}
     end = -1
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if a >= end:

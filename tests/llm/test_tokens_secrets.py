@@ -117,6 +117,18 @@ def test_scan(docs):
     assert X.report(docs([])).count() == 0
 
 
+def test_candidates_without_digits_or_quotes():
+    value = lambda t: [t[i:j] for i, j in X.candidates(t)]
+    letters = "ABCDEFGHIJKLMNOP"
+    assert value(f"x AKIA{letters} y") == [f"AKIA{letters}"] and value(f"sk_live_{letters}") == [f"sk_live_{letters}"]
+    assert value("xoxb-" + letters) == ["xoxb-" + letters] and value(letters + " words") == []
+    assert value("DB_PASSWORD=s3cr3tpw\n") == ["s3cr3tpw"] and value("password: hunter2x and") == ["hunter2x"]
+    assert value("secret = " + letters * 2) == [letters * 2] and value('token = "abc"') == []
+    long = "a!" * 300
+    assert value(f'token = "{long}"') == [long] and value("pwd => 'it\"s!ok'") == ['it"s!ok']
+    assert value(f"key AKIA{letters}, password=AKIA{letters}") == [f"AKIA{letters}"] * 2
+
+
 def test_labelled_documents_have_their_tokens(spark):
     import re
 
