@@ -34,9 +34,13 @@ def _suspects(rows: DataFrame, slot: Column) -> DataFrame:
 
 def groups(df: DataFrame, id_col: str, text_col: str, slots_per_row: int = 32) -> DataFrame:
     """One row per row of df: doc_id, digest (SHA-256 of the normalised text), keep_id, group_size, kept."""
+    return _grouped(df, id_col, text_col, F.monotonically_increasing_id(), slots_per_row).drop("_row")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, row: Column, slots_per_row: int = 32) -> DataFrame:
+    """The rows of groups, with _row: the number by which rows are told apart."""
     digests = written(
-        df.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"))
-        .withColumn("_row", F.monotonically_increasing_id())
+        df.select(F.col(id_col).alias("doc_id"), row.alias("_row"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"))
     )
     bits = power_of_two(slots_per_row * digests.count(), LEAST_SLOTS, MOST_SLOTS)
     slot = lambda seed: F.shiftrightunsigned(F.xxhash64("digest", F.lit(seed)), 64 - bits)
@@ -47,16 +51,17 @@ def groups(df: DataFrame, id_col: str, text_col: str, slots_per_row: int = 32) -
     best = F.max(F.struct("doc_id", "_row")).alias("_best")
     sizes = written(suspected.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size")))
     together = join_on_hot_keys(suspected, sizes, "digest", "group_size")
-    cols = ["doc_id", "digest"]
+    cols = ["_row", "doc_id", "digest"]
     return alone.select(*cols, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")).unionByName(
         together.select(*cols, F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"))
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df without the rows that are not kept; unique, non-null ids. Only dropped ids are joined."""
-    dropped = groups(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped"))
-    return df.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """df without the rows that are not kept, whatever their ids. Only dropped rows' numbers are joined."""
+    rows = written(df.withColumn("_number", F.monotonically_increasing_id()))
+    dropped = _grouped(rows, id_col, text_col, F.col("_number")).filter("not kept").select(F.col("_row").alias("_number"))
+    return rows.join(dropped, "_number", "left_anti").select(*df.columns)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,12 @@ def test_lines(docs):
     assert full.columns == ["doc_id", "text", "lang", "source", "n_chars", "count", "n_lines", "n_dropped"] and full.count() == len(rows)
 
 
+def test_exact_copies_go_by_row(docs):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (3, "A"), (3, "c"), (None, None), (4, "")]
+    left = exact_dedup.drop_exact_copies(docs(rows), "doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, "b"), (3, "A"), (3, "c"), (4, "")]
+
+
 def test_lines_edges(docs):
     assert line_dedup.report(docs([])).count() == 0
     got = line_dedup.report(docs([(None, "a line of twelve"), (3, "a line of twelve"), (3, "a line of twelve"), (4, "a line of twelve")])).collect()
