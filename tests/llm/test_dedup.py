@@ -136,9 +136,10 @@ def test_near_copies_go_by_row(docs):
     assert left[0]["count"] == "x"
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_near_counts_all_links(docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sparse"), [(4, 0), (4, 10**9), (512, 64)])
+def test_near_counts_all_links(docs, monkeypatch, block, sparse):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SPARSE", sparse)
     rng = random.Random(9)
     texts = [t for n, w, e in [(40, 80, 6), (20, 200, 14), (10, 40, 3)] for t in copies(rng, n, w, e)]
     texts += [texts[0]] * 3 + ["a b", "A  B", "", None, *(" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(10))]
