@@ -1,8 +1,7 @@
 """Call-graph structure: closures, strongly connected components, condensation, levels.
 
-Edges are (caller_id, callee_id). Loops run on written tables with a scalar test per round. Graphs of
-at most storage.SMALL edges, by a checked count, are solved on the driver instead: rounds of
-joins would only cost there. Both ways give the same rows.
+Edges are (caller_id, callee_id); an edge without one of its ends is none, nor is a null id a node. Loops run on
+written tables with a scalar test per round, and a round writes its own rows only.
 """
 
 from __future__ import annotations
@@ -10,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import SMALL, is_small, written
+from ..storage import Rounds, written
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("caller_id").alias("id")).union(edges.select(F.col("callee_id").alias("id"))).distinct()
+    return edges.select(F.col("caller_id").alias("id")).union(edges.select(F.col("callee_id").alias("id"))).filter("id is not null").distinct()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -32,108 +31,50 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("caller_id").cast("long"), F.col("callee_id").cast("long")).distinct()
+    pairs = edges.filter("caller_id is not null and callee_id is not null")
+    return pairs.select(F.col("caller_id").cast("long"), F.col("callee_id").cast("long")).distinct()
 
 
-def _local(edges: DataFrame) -> dict[int, list[int]]:
-    t = edges.toArrow()
-    out: dict[int, list[int]] = {}
-    for a, b in zip(t["caller_id"].to_pylist(), t["callee_id"].to_pylist(), strict=True):
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    return out
+def _ids(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long")).filter("id is not null").distinct()
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): the seeds and all they call, directly or not. seeds: (id)."""
     pairs = written(_pairs(edges))
-    seeds = seeds.select(F.col("id").cast("long")).distinct()
-    if small and is_small(pairs, small) and is_small(seeds, small):
-        graph = _local(pairs)
-        seen = {r.id for r in seeds.collect()}
-        todo = list(seen)
-        while todo:
-            for b in graph.get(todo.pop(), ()):
-                if b not in seen:
-                    seen.add(b)
-                    todo.append(b)
-        return edges.sparkSession.createDataFrame([(x,) for x in sorted(seen)], "id long")
-    seen = frontier = written(seeds)
+    seen = Rounds()
+    frontier = seen.add(_ids(seeds))
     while not frontier.isEmpty():
         following = frontier.join(pairs, F.col("id") == F.col("caller_id")).select(F.col("callee_id").alias("id")).distinct()
-        frontier = written(following.join(seen, "id", "left_anti"))
-        seen = written(seen.union(frontier))
-    return seen
+        frontier = seen.add(following.join(seen.all(), "id", "left_anti"))
+    return seen.all()
 
 
-def affected(seeds: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def affected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): the seeds and all that call them, directly or not."""
-    return reachable(seeds, reverse(edges), small)
-
-
-def _scc_local(graph: dict[int, list[int]]) -> dict[int, int]:
-    """Smallest member of each node's component: path-based search with an explicit stack."""
-    order: dict[int, int] = {}
-    done: dict[int, int] = {}
-    path: list[int] = []
-    borders: list[int] = []
-    for root in graph:
-        if root in order:
-            continue
-        work = [(root, iter(graph[root]))]
-        order[root] = len(order)
-        path.append(root)
-        borders.append(root)
-        while work:
-            node, rest = work[-1]
-            for b in rest:
-                if b not in order:
-                    order[b] = len(order)
-                    path.append(b)
-                    borders.append(b)
-                    work.append((b, iter(graph[b])))
-                    break
-                if b not in done:
-                    while order[borders[-1]] > order[b]:
-                        borders.pop()
-            else:
-                work.pop()
-                if borders[-1] == node:
-                    borders.pop()
-                    members = []
-                    while True:
-                        members.append(path.pop())
-                        if members[-1] == node:
-                            break
-                    least = min(members)
-                    done.update(dict.fromkeys(members, least))
-    return done
+    return reachable(seeds, reverse(edges))
 
 
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """labels (id, color): each node's smallest color among itself and all that reach it."""
     while True:
         came = labels.join(pairs, F.col("id") == F.col("caller_id")).groupBy("callee_id").agg(F.min("color").alias("c"))
-        after = written(labels.join(came, F.col("id") == F.col("callee_id"), "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color")))
-        if after.join(labels.withColumnRenamed("color", "was"), "id").filter("color <> was").isEmpty():
-            return after
-        labels = after
+        after = labels.join(came, F.col("id") == F.col("callee_id"), "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), (F.col("c") < F.col("color")).alias("less"))
+        after = written(after)
+        labels = after.select("id", "color")
+        if after.filter("less").isEmpty():
+            return labels
 
 
-def sccs(edges: DataFrame, vertices: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+def sccs(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, scc_id): strongly connected components, named by their smallest member.
 
-    vertices: further nodes (id), for those without edges. Distributed, nodes without callers or
-    callees go first (they are their own component); in the rest, the smallest id that reaches a
+    vertices: further nodes (id), for those without edges. Nodes without callers or callees
+    go first (they are their own component); in the rest, the smallest id that reaches a
     node is its color, and of a color those that reach its root make a component; then again.
     """
-    spark = edges.sparkSession
     pairs = written(_pairs(edges))
-    every = nodes(pairs) if vertices is None else nodes(pairs).union(vertices.select(F.col("id").cast("long"))).distinct()
-    if small and is_small(pairs, small):
-        found = _scc_local(_local(pairs))
-        known = spark.createDataFrame(list(found.items()), "id long, scc_id long")
-        return every.join(known, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"))
+    every = nodes(pairs) if vertices is None else nodes(pairs).union(_ids(vertices)).distinct()
     pairs = written(pairs.filter("caller_id <> callee_id"))
     parts: list[DataFrame] = []
     while not pairs.isEmpty():
@@ -147,7 +88,7 @@ def sccs(edges: DataFrame, vertices: DataFrame | None = None, small: int = SMALL
         colors = _spread(nodes(pairs).withColumn("color", F.col("id")), pairs)
         inside = pairs.join(colors.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(colors.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
         back = reverse(inside.select("caller_id", "callee_id"))
-        members = reachable(colors.filter("id = color").select("id"), back, 0)
+        members = reachable(colors.filter("id = color").select("id"), back)
         found = written(colors.join(members, "id", "left_semi").select("id", F.col("color").alias("scc_id")))
         parts.append(found)
         gone = found.select("id")
@@ -182,47 +123,27 @@ def external_callees(edges: DataFrame, components: DataFrame) -> DataFrame:
     return _labelled(edges, components).filter("src <> dst").select(F.col("src").alias("scc_id"), "callee_id").distinct()
 
 
-def levels(edges: DataFrame, components: DataFrame, small: int = SMALL) -> DataFrame:
+def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(scc_id, level): longest way to a leaf of the condensation; leaves have level 0."""
-    spark = edges.sparkSession
     dag = written(condensation(edges, components))
-    every = components.select("scc_id").distinct()
-    if small and is_small(dag, small):
-        graph = _local(dag.withColumnsRenamed({"src": "caller_id", "dst": "callee_id"}))
-        callers: dict[int, list[int]] = {x: [] for x in graph}
-        left = {x: len(out) for x, out in graph.items()}
-        for a, out in graph.items():
-            for b in out:
-                callers[b].append(a)
-        level = dict.fromkeys(graph, 0)
-        ready = [x for x, n in left.items() if n == 0]
-        while ready:
-            b = ready.pop()
-            for a in callers[b]:
-                level[a] = max(level[a], level[b] + 1)
-                left[a] -= 1
-                if left[a] == 0:
-                    ready.append(a)
-        known = spark.createDataFrame(list(level.items()), "scc_id long, l int")
-        return every.join(known, "scc_id", "left").select("scc_id", F.coalesce("l", F.lit(0)).alias("level"))
-    done, level = None, 0
-    open_ = written(every)
-    while not open_.isEmpty():
+    every = written(components.select("scc_id").distinct())
+    done, level = Rounds(), 0
+    open_ = every
+    while level == 0 or not open_.isEmpty():
         blocked = dag.join(open_.withColumnRenamed("scc_id", "dst"), "dst", "left_semi").select(F.col("src").alias("scc_id")).distinct()
-        now = written(open_.join(blocked, "scc_id", "left_anti").withColumn("level", F.lit(level)))
-        if now.isEmpty():
+        now = done.add(open_.join(blocked, "scc_id", "left_anti").withColumn("level", F.lit(level)))
+        if now.isEmpty() and not open_.isEmpty():
             raise ValueError("the condensation has a cycle")
-        done = now if done is None else written(done.union(now))
         open_ = written(open_.join(now, "scc_id", "left_anti"))
         level += 1
-    return done if done is not None else every.withColumn("level", F.lit(0))
+    return done.all()
 
 
-def topological(edges: DataFrame, components: DataFrame, small: int = SMALL) -> DataFrame:
+def topological(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(position, scc_id, level): callees first; inside a level by name."""
     from pyspark.sql import Window
 
-    ranked = levels(edges, components, small)
+    ranked = levels(edges, components)
     sizes = ranked.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("level").orderBy("scc_id"))
@@ -248,17 +169,24 @@ def entries(edges: DataFrame, relevant: DataFrame) -> DataFrame:
 def aliases(units: DataFrame, members: DataFrame) -> DataFrame:
     """(name, alias_of): sets that are strict subsets of another, with their smallest superset.
 
-    units: (name, pos), members: (name, member). The self-join runs on members, so only sets that
-    share one meet; ties go to the first in pos.
+    units: (name, pos), members: (name, member); ties go to the first in pos. Equal sets are one class, found by
+    their size and two sums of hashes, and its first name stands for it. A superset holds the set's rarest member, so a
+    class meets those that hold that one only, and is compared with them member by member.
     """
-    m = members.distinct()
-    sizes = m.groupBy("name").agg(F.count(F.lit(1)).alias("size")).join(units, "name")
-    a, b = m.alias("a"), m.alias("b")
-    common = a.join(b, (F.col("a.member") == F.col("b.member")) & (F.col("a.name") != F.col("b.name"))).groupBy(F.col("a.name").alias("name"), F.col("b.name").alias("other")).agg(F.count(F.lit(1)).alias("both"))
-    x = sizes.select("name", F.col("size").alias("own"))
-    y = sizes.select(F.col("name").alias("other"), "size", "pos")
-    fits = common.join(x, "name").join(y, "other").filter("both = own and size > own")
-    return fits.groupBy("name").agg(F.min_by("other", F.struct(F.col("size") - F.col("own"), "pos")).alias("alias_of"))
+    m = written(members.filter("member is not null").distinct().join(units, "name"))
+    sums = [F.sum(F.xxhash64(F.lit(i), "member").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    sets = written(m.groupBy("name").agg(F.first("pos").alias("pos"), F.count(F.lit(1)).alias("size"), *sums))
+    classes = written(sets.groupBy("size", "s1", "s2").agg(F.min_by("name", F.struct("pos", "name")).alias("rep"), F.min("pos").alias("pos")))
+    held = written(m.select("name", "member").join(classes.select(F.col("rep").alias("name"), "size", "pos"), "name"))
+    counts = held.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    rare = held.join(counts, "member").groupBy("name").agg(F.min(F.struct("n", "member")).alias("r"), F.first("size").alias("own"))
+    a = rare.select("name", "own", F.col("r.member").alias("member"))
+    pairs = a.join(held.select("member", F.col("name").alias("other"), "size", "pos"), "member").filter("size > own").drop("member")
+    rows = written(pairs).join(held.select("name", "member"), "name")
+    both = rows.join(held.select(F.col("name").alias("other"), "member"), ["other", "member"], "left_semi").groupBy("name", "other").agg(F.count(F.lit(1)).alias("both"), F.first("own").alias("own"), F.first("size").alias("size"), F.first("pos").alias("pos"))
+    best = both.filter("both = own").groupBy("name").agg(F.min_by("other", F.struct(F.col("size") - F.col("own"), "pos", "other")).alias("alias_of"))
+    known = classes.join(best, classes["rep"] == best["name"]).select("size", "s1", "s2", "alias_of")
+    return sets.join(known, ["size", "s1", "s2"]).select("name", "alias_of")
 
 
 def confirm(candidates: DataFrame, known: DataFrame, alias: DataFrame) -> DataFrame:
@@ -266,9 +194,9 @@ def confirm(candidates: DataFrame, known: DataFrame, alias: DataFrame) -> DataFr
     both = written(alias.select("a", "b").union(alias.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     found = candidates.join(known, "name", "left_semi").select("name").distinct()
     frontier = written(known.select("name").union(found).distinct())
-    found = written(found)
+    confirmed = Rounds()
+    confirmed.add(found)
     while not frontier.isEmpty():
         near = frontier.join(both, F.col("name") == F.col("a")).select(F.col("b").alias("name")).distinct()
-        frontier = written(near.join(candidates, "name", "left_semi").join(found, "name", "left_anti"))
-        found = written(found.union(frontier))
-    return found
+        frontier = confirmed.add(near.join(candidates, "name", "left_semi").join(confirmed.all(), "name", "left_anti"))
+    return confirmed.all()

@@ -7,29 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows up to which a graph is handled by the driver instead of by rounds of joins.
-SMALL = 200_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local mode, tests) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, gone when the application ends."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, gone when the application ends; and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return stored(df)[0]
+
+
+class Rounds:
+    """A table that a loop adds to: each round's rows are written once, and read together."""
+
+    def __init__(self) -> None:
+        self.schema, self.paths = None, []
 
+    def add(self, df: DataFrame) -> DataFrame:
+        """The new rows, as written."""
+        table, path = stored(df)
+        self.spark, self.schema = df.sparkSession, self.schema or df.schema
+        self.paths.append(path)
+        return table
 
-def is_small(df: DataFrame, rows: int = SMALL) -> bool:
-    """Whether df has at most `rows` rows, without counting on beyond that."""
-    return df.limit(rows + 1).count() <= rows
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

@@ -1,4 +1,4 @@
-"""Small graphs with known answers, by both ways of computing them; random graphs against brute force."""
+"""Small graphs with known answers; random graphs against brute force."""
 
 import random
 
@@ -19,15 +19,14 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "caller_id long, callee_id long")
 
 
-def sccs(spark, pairs, small):
-    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs), small=small).collect()}
+def sccs(spark, pairs):
+    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs)).collect()}
 
 
 @pytest.mark.parametrize("name", GRAPHS)
-@pytest.mark.parametrize("small", [0, 1000])
-def test_sccs(spark, name, small):
+def test_sccs(spark, name):
     pairs, want = GRAPHS[name]
-    assert sccs(spark, pairs, small) == want
+    assert sccs(spark, pairs) == want
 
 
 def test_isolated_and_empty(spark):
@@ -48,15 +47,40 @@ def test_random_sccs_and_levels(spark):
             reach[a] |= reach[b]
     want = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
     e = edges(spark, pairs)
-    for small in (0, 1000):
-        assert sccs(spark, pairs, small) == want
-    c = graph.sccs(e)
-    by_join = {tuple(r) for r in graph.levels(e, c, 0).collect()}
-    assert by_join == {tuple(r) for r in graph.levels(e, c).collect()}
+    assert sccs(spark, pairs) == want
+    over = {(want[a], want[b]) for a, b in pairs if want[a] != want[b]}
+
+    def level(x):
+        return max((level(b) + 1 for a, b in over if a == x), default=0)
+
+    assert {r.scc_id: r.level for r in graph.levels(e, graph.sccs(e)).collect()} == {x: level(x) for x in want.values()}
     seeds = spark.createDataFrame([(pairs[0][0],)], "id long")
-    for small in (0, 1000):
-        assert {r.id for r in graph.reachable(seeds, e, small).collect()} == reach[pairs[0][0]]
-        assert {r.id for r in graph.affected(seeds, e, small).collect()} == {a for a in nodes if pairs[0][0] in reach[a]}
+    assert {r.id for r in graph.reachable(seeds, e).collect()} == reach[pairs[0][0]]
+    assert {r.id for r in graph.affected(seeds, e).collect()} == {a for a in nodes if pairs[0][0] in reach[a]}
+
+
+def test_null_ends_are_no_nodes(spark):
+    e = edges(spark, [(1, 2), (2, None), (None, 3)])
+    seeds = spark.createDataFrame([(1,), (None,)], "id long")
+    assert sorted(r.id for r in graph.reachable(seeds, e).collect()) == [1, 2]
+    assert sorted(r.id for r in graph.affected(spark.createDataFrame([(3,)], "id long"), e).collect()) == [3]
+    assert sccs(spark, [(1, 2), (2, None)]) == {1: 1, 2: 2}
+
+
+def test_aliases_of_many_sets_over_few_members(spark):
+    rng = random.Random(7)
+    sets = {f"u{i}": {m for m in "abcde" if rng.random() < 0.6} for i in range(3000)}
+    units = spark.createDataFrame([(n, i) for i, n in enumerate(sets)], "name string, pos long")
+    members = spark.createDataFrame([(n, m) for n, s in sets.items() for m in s for _ in range(2)], "name string, member string")
+    first = {}
+    for i, (n, s) in enumerate(sets.items()):
+        first.setdefault(frozenset(s), (i, n))
+    want = {}
+    for n, s in sets.items():
+        over = [(len(x) - len(s), i, other) for x, (i, other) in first.items() if s and s < x]
+        if over:
+            want[n] = min(over)[2]
+    assert {r.name: r.alias_of for r in graph.aliases(units, members).collect()} == want
 
 
 def test_stats_and_condensation(spark):
