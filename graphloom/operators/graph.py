@@ -6,11 +6,17 @@ written tables with a scalar test per round, and a round writes its own rows onl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, written
 
+#: Edges that one task takes to end a search for components; some 10 MB.
+REST = 100_000
+
 
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("caller_id").alias("id")).union(edges.select(F.col("callee_id").alias("id"))).filter("id is not null").distinct()
@@ -55,6 +61,59 @@ def affected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return reachable(seeds, reverse(edges))
 
 
+def _scc_local(graph: dict[int, list[int]]) -> dict[int, int]:
+    """Smallest member of each node's component: path-based search with an explicit stack."""
+    order: dict[int, int] = {}
+    done: dict[int, int] = {}
+    path: list[int] = []
+    borders: list[int] = []
+    for root in graph:
+        if root in order:
+            continue
+        work = [(root, iter(graph[root]))]
+        order[root] = len(order)
+        path.append(root)
+        borders.append(root)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in order:
+                    order[b] = len(order)
+                    path.append(b)
+                    borders.append(b)
+                    work.append((b, iter(graph[b])))
+                    break
+                if b not in done:
+                    while order[borders[-1]] > order[b]:
+                        borders.pop()
+            else:
+                work.pop()
+                if borders[-1] == node:
+                    borders.pop()
+                    members = []
+                    while True:
+                        members.append(path.pop())
+                        if members[-1] == node:
+                            break
+                    least = min(members)
+                    done.update(dict.fromkeys(members, least))
+    return done
+
+
+def _rest(pairs: DataFrame) -> DataFrame:
+    """(id, scc_id) of all nodes of few edges, in one task."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph: dict[int, list[int]] = {}
+        for rows in batches:
+            for a, b in rows.itertuples(index=False):
+                graph.setdefault(a, []).append(b)
+                graph.setdefault(b, [])
+        yield pd.DataFrame(list(_scc_local(graph).items()), columns=["id", "scc_id"], dtype="int64")
+
+    return pairs.select("caller_id", "callee_id").repartition(1).mapInPandas(solve, "id long, scc_id long")
+
+
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """labels (id, color): each node's smallest color among itself and all that reach it."""
     while True:
@@ -66,18 +125,22 @@ def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def sccs(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def sccs(edges: DataFrame, vertices: DataFrame | None = None, rest: int = REST) -> DataFrame:
     """(id, scc_id): strongly connected components, named by their smallest member.
 
     vertices: further nodes (id), for those without edges. Nodes without callers or callees
     go first (they are their own component); in the rest, the smallest id that reaches a
     node is its color, and of a color those that reach its root make a component; then again.
+    Once at most `rest` edges are left, one task ends it: many short rounds would only cost there.
     """
     pairs = written(_pairs(edges))
     every = nodes(pairs) if vertices is None else nodes(pairs).union(_ids(vertices)).distinct()
     pairs = written(pairs.filter("caller_id <> callee_id"))
     parts: list[DataFrame] = []
     while not pairs.isEmpty():
+        if pairs.limit(rest + 1).count() <= rest:
+            parts.append(written(_rest(pairs)))
+            break
         for _ in range(4):  # more trimming than that is cheaper done by the colors
             both = pairs.select(F.col("caller_id").alias("id")).distinct().intersect(pairs.select(F.col("callee_id").alias("id")).distinct())
             both = written(both)
@@ -87,12 +150,14 @@ def sccs(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
             break
         colors = _spread(nodes(pairs).withColumn("color", F.col("id")), pairs)
         inside = pairs.join(colors.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(colors.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
-        back = reverse(inside.select("caller_id", "callee_id"))
+        inside = written(inside)
+        back = reverse(inside)
         members = reachable(colors.filter("id = color").select("id"), back)
         found = written(colors.join(members, "id", "left_semi").select("id", F.col("color").alias("scc_id")))
         parts.append(found)
         gone = found.select("id")
-        pairs = written(pairs.join(gone.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti").join(gone.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti"))
+        left = inside.select("caller_id", "callee_id")  # a component has one color
+        pairs = written(left.join(gone.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti").join(gone.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti"))
     if not parts:
         return every.select("id", F.col("id").alias("scc_id"))
     known = parts[0]

@@ -19,14 +19,14 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "caller_id long, callee_id long")
 
 
-def sccs(spark, pairs):
-    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs)).collect()}
+def sccs(spark, pairs, rest=0):
+    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs), rest=rest).collect()}
 
 
 @pytest.mark.parametrize("name", GRAPHS)
 def test_sccs(spark, name):
     pairs, want = GRAPHS[name]
-    assert sccs(spark, pairs) == want
+    assert sccs(spark, pairs) == want == sccs(spark, pairs, 100)
 
 
 def test_isolated_and_empty(spark):
@@ -47,7 +47,7 @@ def test_random_sccs_and_levels(spark):
             reach[a] |= reach[b]
     want = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
     e = edges(spark, pairs)
-    assert sccs(spark, pairs) == want
+    assert sccs(spark, pairs) == want == sccs(spark, pairs, 100)
     over = {(want[a], want[b]) for a, b in pairs if want[a] != want[b]}
 
     def level(x):
