@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a temporary one (local mode, tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +43,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, results: tuple[str, ...], *inputs: str) -> DataFrame:
+    """df without columns named like results, whatever their case, which give way to them; inputs must be none of these."""
+    taken = {c.lower() for c in results}
+    for c in inputs:
+        if c.lower() in taken:
+            raise ValueError(f"the input column {c} has the name of a result")
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in taken))
+
+
 def stored_bytes(df: DataFrame, text: str) -> int:
     """About how many bytes of text df has: the plan's statistics, or a sum where they are unknown."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

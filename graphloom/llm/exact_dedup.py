@@ -8,7 +8,7 @@ pass straight through; only the rest are shuffled by digest.
 
 Defined cases. Null text counts as empty, so nulls and empty texts are one group. A null id sorts
 below every id. Rows that repeat both id and text are told apart by their place in the table: one of
-them stays. An empty table gives an empty result. Other columns are carried untouched.
+them stays. An empty table gives an empty result. Other columns are carried untouched (names starting with `_gl_` are reserved).
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, row: Column, slots_per_r
 
 def drop_exact_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df without the rows that are not kept, whatever their ids. Only dropped rows' numbers are joined."""
-    rows = written(df.withColumn("_number", F.monotonically_increasing_id()))
-    dropped = _grouped(rows, id_col, text_col, F.col("_number")).filter("not kept").select(F.col("_row").alias("_number"))
-    return rows.join(dropped, "_number", "left_anti").select(*df.columns)
+    rows = written(df.withColumn("_gl_number", F.monotonically_increasing_id()))
+    dropped = _grouped(rows, id_col, text_col, F.col("_gl_number")).filter("not kept").select(F.col("_row").alias("_gl_number"))
+    return rows.join(dropped, "_gl_number", "left_anti").select(*df.columns)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,8 @@ others meet their lists of dropped keys by row digest, so a list is no longer th
 
 Defined cases. Null and empty texts are one empty line, which never drops. Rows with the same id are
 one document; null ids together are one document after all others. Lines repeated inside one
-document don't count. Extra columns pass through; names starting with `_gl_` are reserved.
+document don't count. Ids may be of any type that orders. Extra columns pass through; those named like a count are
+replaced by it, and names starting with `_gl_` are reserved.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bloom import LEAST_BITS, MOST_BITS, might_repeat, twice_seen
-from .common import join_on_hot_keys, power_of_two, stored_bytes, written
+from .common import join_on_hot_keys, power_of_two, stored_bytes, without, written
 
 K = 2
 
@@ -59,8 +61,9 @@ def _suspects(texts: list[bytes], twice: bytes, bits: int, min_chars: int) -> li
     return out
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, bytes_per_line: int = 64) -> DataFrame:
-    """df with text_col without the dropped lines, and n_lines (before) and n_dropped (long)."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, bytes_per_line: int = 64, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """df with text_col without the dropped lines, and (names in counts) its lines before and the dropped ones (long)."""
+    df = without(df, counts, id_col, text_col)
     bits = power_of_two(16 * stored_bytes(df, text_col) / bytes_per_line, LEAST_BITS, MOST_BITS)
     texts = df.select(F.col(text_col).alias("_gl_text"))
 
@@ -91,7 +94,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     ids = df.select(F.col(id_col).alias("_gl_id"), F.col(text_col).alias("_gl_text"))
     spark_id = ids.schema["_gl_id"].dataType
-    id_type = pa.int64() if isinstance(spark_id, T.LongType) else pa.string() if isinstance(spark_id, T.StringType) else pa.int32()
+    id_type = to_arrow_type(spark_id)
     schema = T.StructType([T.StructField("_gl_id", spark_id), T.StructField("_gl_row", T.BinaryType()), T.StructField("_gl_key", T.BinaryType())])
     seen = written(ids.mapInArrow(occurrences, schema))
     first = seen.groupBy("_gl_key").agg(F.min("_gl_id").alias("_gl_first"), F.max("_gl_id").alias("_gl_last"), F.count("_gl_id").alias("_gl_ids"), F.count(F.lit(1)).alias("_gl_n"))
@@ -112,10 +115,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     df_names = df.columns
     rows = df.mapInArrow(mark, marked)
     plain = rows.filter("_gl_row is null").drop("_gl_row")
-    plain = plain.withColumns({"n_lines": F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))), F.lit(0)).cast("long") + 1, "n_dropped": F.lit(0).cast("long")})
+    plain = plain.withColumns({counts[0]: F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))), F.lit(0)).cast("long") + 1, counts[1]: F.lit(0).cast("long")})
     listed = drops.withColumnsRenamed({"_gl_row": "_gl_row2", "_gl_id": "_gl_id2"})
     met = rows.filter("_gl_row is not null").join(listed, F.col("_gl_row").eqNullSafe(F.col("_gl_row2")) & F.col(id_col).eqNullSafe(F.col("_gl_id2")), "left").select(*df_names, "_gl_drop")
-    counts = [T.StructField("n_lines", T.LongType(), False), T.StructField("n_dropped", T.LongType(), False)]
+    more = [T.StructField(c, T.LongType(), False) for c in counts]
 
     def drop(batches):
         where = df_names.index(text_col)
@@ -130,9 +133,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     n.append(len(lines))
                     gone.append(len(lines) - len(kept))
                 columns = [pa.array(out, part.column(i).type) if i == where else part.column(i) for i in range(len(df_names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*df_names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*df_names, *counts])
 
-    return plain.unionByName(met.mapInArrow(drop, T.StructType([*df.schema.fields, *counts])))
+    return plain.unionByName(met.mapInArrow(drop, T.StructType([*df.schema.fields, *more])))
 
 
 def _slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, power_of_two, written
+from .common import WORD, power_of_two, without, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN = 3, 2  # 150 %
@@ -147,8 +147,8 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     return rows.select("doc_id", "source", "_key", "size", "source_size", "target", taken.alias("taken"), _parts(F.col("size")).alias("parts"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of df, one for each time it's taken, with shard and shuffle_key.
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", names: tuple[str, str] = ("shard", "shuffle_key")) -> DataFrame:
+    """The mix itself: rows of df, one for each time it's taken, with shard and shuffle_key (or other names, of which df may have columns: they are replaced).
 
     Sort by shuffle_key inside each shard, e.g. repartition("shard").sortWithinPartitions("shuffle_key").
     A document that crosses its source's target ends after the last word taken; one per source at most. Rows meet
@@ -156,10 +156,11 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     among the rows that share these. Such rows are alike to the plan, so any order among them gives the same totals;
     by text it gives the same mix again.
     """
+    df = without(df, names, id_col, text_col, source_col)
     _, sources, plans, cut = _layout(df, id_col, text_col, source_col)
-    names = {c: f"_m{i}" for i, c in enumerate(df.columns)}  # so that no name clashes
-    id_, text_, source_ = (F.col(names[c]) for c in (id_col, text_col, source_col))
-    rows = _in_block(df.withColumnsRenamed(names), source_, _key(id_), sources.select("source", "n_blocks"))
+    inner = {c: f"_m{i}" for i, c in enumerate(df.columns)}  # so that no name clashes
+    id_, text_, source_ = (F.col(inner[c]) for c in (id_col, text_col, source_col))
+    rows = _in_block(df.withColumnsRenamed(inner), source_, _key(id_), sources.select("source", "n_blocks"))
     whole = _with_plan(rows, source_, plans.filter(f"not ({_CUT})"))
     size = F.lit(None).cast("long")
     whole = whole.withColumns({"last": F.when(F.col("partial") > 0, F.lit(-1).cast("long")), "_size": size})
@@ -177,7 +178,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     short = (F.col("_part.words") >= 0) & (F.col("_part.words") < F.col("_size"))
     text = F.when(short, F.array_join(F.slice(pieces, F.lit(1), F.col("_part.words").cast("int")), "")).otherwise(text_)
     key = F.xxhash64(id_, F.col("_part.pass"), F.lit("local"))
-    return taken.select(*((text if c == text_col else F.col(names[c])).alias(c) for c in df.columns), F.col("_part.shard").alias("shard"), key.alias("shuffle_key"))
+    return taken.select(*((text if c == text_col else F.col(inner[c])).alias(c) for c in df.columns), F.col("_part.shard").alias(names[0]), key.alias(names[1]))
 
 
 def report(df: DataFrame) -> DataFrame:

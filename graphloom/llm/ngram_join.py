@@ -27,7 +27,8 @@ load: more prefixes are shuffled, in proportion to the input, and the result is
 
 Defined cases. Null, empty and blank texts have an empty set, n_shingles 0 and no link. Fewer words
 than a shingle: the whole sequence is the one shingle. Rows that repeat an id and text are one class.
-A null id counts for component_id only where its component has no other. Other columns are not read.
+A null id counts for component_id only where its component has no other. Other columns are not read; drop_near_copies
+passes them through (names starting with `_gl_` are reserved).
 """
 
 from __future__ import annotations
@@ -453,6 +454,6 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component, whatever the ids; rows without words stay."""
-    rows = written(df.withColumn("_uid", F.monotonically_increasing_id()))
-    dropped = _labelled(rows, id_col, text_col, 5, 80, "_uid").filter("not kept").select(F.col("uid").alias("_uid"))
-    return rows.join(dropped, "_uid", "left_anti").select(*df.columns)
+    rows = written(df.withColumn("_gl_uid", F.monotonically_increasing_id()))
+    dropped = _labelled(rows, id_col, text_col, 5, 80, "_gl_uid").filter("not kept").select(F.col("uid").alias("_gl_uid"))
+    return rows.join(dropped, "_gl_uid", "left_anti").select(*df.columns)

@@ -11,7 +11,8 @@ text is scored. Labels, languages, sources and ids never enter a score.
 
 Defined cases. Null, empty and blank texts have no features; their score is that of the bias. Labels that are
 null are left out; an id labelled twice counts with its smallest label. Without any label to
-learn from, all weights are 0 and all scores 1/2. Repeated rows score alike.
+learn from, all weights are 0 and all scores 1/2. Repeated rows score alike. Other columns pass through; one that has
+the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
 from .text import mix, slices, utf8, windows, word_hashes, words
 
 BITS = 18
@@ -123,8 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.frombuffer(bytes(found[0]), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with score, the probability of label 1."""
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with score (or another name), the probability of label 1."""
+    docs = without(docs, (name,), text_col)
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
     names = docs.columns
     where = names.index(text_col)
@@ -135,9 +138,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
             raw, at = utf8(batch.column(where))
             parts = [_dots(features(raw[at[a] : at[b]], at[a : b + 1] - at[a]), w) for a, b in slices(at)]
             total = (np.concatenate(parts) if parts else np.zeros(0)) + w[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-total)))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-total)))], [*names, name])
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(id_col: str):

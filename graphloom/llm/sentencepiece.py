@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
 from .text import Types, mix, seeded, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -274,6 +275,7 @@ class Codec:
 def encode(df: DataFrame, text_col: str = "text", model: str | bytes = MODEL, decoded: bool = False) -> DataFrame:
     """df with token_ids array<int>; with decoded, also the text that these ids decode to, in the same pass."""
     data = df.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
+    df = without(df, ("token_ids", *("decoded",) * decoded), text_col)
     names = df.columns
     where = names.index(text_col)
     more = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded]
@@ -299,6 +301,7 @@ def _strings(raw: np.ndarray, at: np.ndarray) -> pa.Array:
 def decode(df: DataFrame, ids_col: str = "token_ids", model: str | bytes = MODEL) -> DataFrame:
     """df with decoded, the text of its ids."""
     data = df.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
+    df = without(df, ("decoded",), ids_col)
     names = df.columns
     where = names.index(ids_col)
 
