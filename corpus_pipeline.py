@@ -16,13 +16,13 @@ from graphloom.llm.common import table, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     weights = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, weights)
-    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    scored = quality_classifier.score(docs, weights, name="_gl_score")
+    return scored.filter(F.col("_gl_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in their first document only; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, counts=("_gl_lines", "_gl_dropped")).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents as often as they are taken, shuffled inside their shards."""
-    mixed = mixing.mixed(docs).repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    mixed = mixing.mixed(docs, names=("_gl_shard", "_gl_key")).repartition("_gl_shard").sortWithinPartitions("_gl_shard", "_gl_key")
     return mixed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
