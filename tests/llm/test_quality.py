@@ -72,7 +72,7 @@ def perplexity(p, t):
     return -sum(logs) / len(logs) if logs else None
 
 
-TEXTS = ["the cat the cat the cat sat\nthe cat\n\nthe cat", "a b c a b c a", "été à la é 🙂 #*$%&|<>", "", None, " \n\t", "x" * 3000, "one\x0ctwo\x85three", "Ab ab AB ab"]
+TEXTS = ["the cat the cat the cat sat\nthe cat\n\nthe cat", "a b c a b c a", "été à la é 🙂 #*$%&|<>", "", None, " \n\t", "x" * 3000, "ab" + "#!" * 40 + " cd?? $$ " + "-" * 30, "one\x0ctwo\x85three", "Ab ab AB ab"]
 
 
 def test_counts_and_perplexity(docs):
