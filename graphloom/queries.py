@@ -198,7 +198,7 @@ def overlap_best_match(t):
 
 
 @query("""WITH w AS (SELECT p_partkey AS key_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'b/' || p_brand ELSE p_brand END AS own FROM part),
-    f AS (SELECT min(p_partkey) AS id, p_name AS name, 'b/' || p_brand AS file_path FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name, p_brand),
+    f AS (SELECT min(p_partkey) AS id, p_name AS name, 'b/' || p_brand AS file_path FROM part WHERE p_size > 48 GROUP BY p_name, p_brand),
     e AS (SELECT key_id, max(id) AS id FROM w JOIN f ON f.name = w.name AND f.file_path = w.own WHERE contains(own, '/') GROUP BY key_id),
     n AS (SELECT name, count(*) AS c, min(id) AS id FROM f GROUP BY name)
     SELECT own || ':' || w.name || '@' || w.key_id AS key, coalesce(e.id, CASE WHEN n.c = 1 THEN n.id END) AS id,
@@ -207,7 +207,7 @@ def overlap_best_match(t):
 def resolution_cascade(t):
     own = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("b/"), "p_brand", F.lit(":"))).otherwise(F.lit(""))
     w = t.part.select(F.concat(own, "p_name").alias("key"), F.lit(None).cast("string").alias("file"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit(None).cast("string").alias("demangled")).distinct()
-    f = t.part.filter("p_partkey % 2 = 0").groupBy(F.col("p_name").alias("name"), F.concat(F.lit("b/"), "p_brand").alias("file_path")).agg(F.min("p_partkey").alias("id"))
+    f = t.part.filter("p_size > 48").groupBy(F.col("p_name").alias("name"), F.concat(F.lit("b/"), "p_brand").alias("file_path")).agg(F.min("p_partkey").alias("id"))
     return resolve.cascade(w, f.withColumns({"line_start": F.lit(1), "line_end": F.lit(2)}))
 
 
