@@ -136,8 +136,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[n
             whole[has] += h[first[short[has]] + j] * m[j]
         grams = np.concatenate([grams, mix(whole + n[short].astype(np.uint64))])
         row = np.concatenate([row, short])
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
+        order = np.argsort(row, kind="stable")
+        grams, row = grams[order], row[order]
+    ends = np.searchsorted(row, np.arange(len(n)), "right").tolist()
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        grams[a:b].sort()
     if len(grams):
         new = np.empty(len(grams), bool)
         new[0] = True
