@@ -139,7 +139,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[n
         order = np.argsort(row, kind="stable")
         grams, row = grams[order], row[order]
     ends = np.searchsorted(row, np.arange(len(n)), "right").tolist()
-    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+    for a, b in zip([0, *ends], ends, strict=False):
         grams[a:b].sort()
     if len(grams):
         new = np.empty(len(grams), bool)
