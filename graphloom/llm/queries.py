@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece, url_filter
+from . import chat_format, divergence, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece, topk_search, turn_repair, url_filter
 from .common import table
 
 
@@ -52,7 +52,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op1_chat_format, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_mixing, op7_sentencepiece, op8_ngram_join, op9_quality_rules, op10_quality_classifier)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_chat_format, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_mixing, op7_sentencepiece, op8_ngram_join, op9_quality_rules, op10_quality_classifier, op11_turn_repair, op12_topk_search, op13_divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,5 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_chat_format": chat_format.SQL_CHECKED, "op2_exact_dedup": exact_dedup.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op6_mixing": mixing.SQL}
+    found = {"op1_chat_format": chat_format.SQL_CHECKED, "op2_exact_dedup": exact_dedup.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op6_mixing": mixing.SQL,
+             "op11_turn_repair": turn_repair.SQL, "op12_topk_search": topk_search.SQL, "op13_divergence": divergence.SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
