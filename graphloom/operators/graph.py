@@ -7,15 +7,19 @@ written tables with a scalar test per round, and a round writes its own rows onl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, written
+from .merge import numbered
 
-#: Edges that one task takes to end a search for components; some 10 MB.
-REST = 100_000
+#: Edges that one task contracts at a time; some 30 MB.
+TASK_EDGES = 1 << 18
+#: Steps along edges in one job of a loop.
+HOPS = 4
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -46,13 +50,16 @@ def _ids(df: DataFrame) -> DataFrame:
 
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id): the seeds and all they call, directly or not. seeds: (id)."""
+    """(id): the seeds and all they call, directly or not. seeds: (id). A round goes HOPS calls far."""
     pairs = written(_pairs(edges))
     seen = Rounds()
     frontier = seen.add(_ids(seeds))
     while not frontier.isEmpty():
-        following = frontier.join(pairs, F.col("id") == F.col("caller_id")).select(F.col("callee_id").alias("id")).distinct()
-        frontier = seen.add(following.join(seen.all(), "id", "left_anti"))
+        steps = [frontier]
+        for _ in range(HOPS):
+            steps.append(steps[-1].join(pairs, F.col("id") == F.col("caller_id")).select(F.col("callee_id").alias("id")).distinct())
+        reached = reduce(DataFrame.union, steps[1:]).distinct()
+        frontier = seen.add(reached.join(seen.all(), "id", "left_anti"))
     return seen.all()
 
 
@@ -100,18 +107,46 @@ def _scc_local(graph: dict[int, list[int]]) -> dict[int, int]:
     return done
 
 
-def _rest(pairs: DataFrame) -> DataFrame:
-    """(id, scc_id) of all nodes of few edges, in one task."""
+def _contracted(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(id, name): members of components that lie inside one task's edges, by their smallest member.
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph: dict[int, list[int]] = {}
+    Edges are dealt by ranges of callers, as ids near each other mostly call each other. A caller with
+    very many callees may fall to two tasks, which may name it differently; any of the names is a member of its component.
+    """
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls: dict[int, list[int]] = {}
         for rows in batches:
-            for a, b in rows.itertuples(index=False):
-                graph.setdefault(a, []).append(b)
-                graph.setdefault(b, [])
-        yield pd.DataFrame(list(_scc_local(graph).items()), columns=["id", "scc_id"], dtype="int64")
+            for a, b in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                calls.setdefault(a, []).append(b)
+                calls.setdefault(b, [])
+        found = [(a, b) for a, b in _scc_local(calls).items() if a != b]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["id", "name"])
+
+    dealt = pairs.select("caller_id", "callee_id")
+    dealt = dealt.repartitionByRange(tasks, "caller_id", "callee_id") if tasks > 1 else dealt.repartition(1)
+    return dealt.mapInArrow(solve, "id long, name long").groupBy("id").agg(F.min("name").alias("name"))
+
+
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """pairs between the new names, without those inside one."""
+    a, b = names.select(F.col("id").alias("caller_id"), F.col("name").alias("x")), names.select(F.col("id").alias("callee_id"), F.col("name").alias("y"))
+    met = pairs.join(a, "caller_id", "left").join(b, "callee_id", "left")
+    return met.select(F.coalesce("x", "caller_id").alias("caller_id"), F.coalesce("y", "callee_id").alias("callee_id")).filter("caller_id <> callee_id").distinct()
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs whose caller is called and whose callee calls; other nodes are components of their own."""
+    kept = pairs.join(pairs.select(F.col("callee_id").alias("caller_id")).distinct(), "caller_id", "left_semi")
+    return written(kept.join(pairs.select(F.col("caller_id").alias("callee_id")).distinct(), "callee_id", "left_semi").select("caller_id", "callee_id"))
 
-    return pairs.select("caller_id", "callee_id").repartition(1).mapInPandas(solve, "id long, scc_id long")
+
+def _followed(names: DataFrame | None, more: DataFrame) -> DataFrame:
+    """names (id, name) carried on by further ones."""
+    if names is None:
+        return more
+    further = names.join(more.select(F.col("id").alias("name"), F.col("name").alias("n")), "name", "left").select("id", F.coalesce("n", "name").alias("name"))
+    return written(further.unionByName(more.join(names, "id", "left_anti")))
 
 
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,45 +160,43 @@ def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def sccs(edges: DataFrame, vertices: DataFrame | None = None, rest: int = REST) -> DataFrame:
+def _by_color(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, name) of the components that hold the smallest node of all that reach them, and the pairs that are left."""
+    colors = _spread(nodes(pairs).withColumn("color", F.col("id")), pairs)
+    inside = pairs.join(colors.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(colors.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
+    inside = written(inside.select("caller_id", "callee_id"))
+    members = reachable(colors.filter("id = color").select("id"), reverse(inside))
+    found = written(colors.join(members, "id", "left_semi").select("id", F.col("color").alias("name")))
+    gone = found.select("id")
+    left = inside.join(gone.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti").join(gone.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti")
+    return found, written(left.select("caller_id", "callee_id"))
+
+
+def sccs(edges: DataFrame, vertices: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, scc_id): strongly connected components, named by their smallest member.
 
-    vertices: further nodes (id), for those without edges. Nodes without callers or callees
-    go first (they are their own component); in the rest, the smallest id that reaches a
-    node is its color, and of a color those that reach its root make a component; then again.
-    Once at most `rest` edges are left, one task ends it: many short rounds would only cost there.
+    vertices: further nodes (id), for those without edges. Each task contracts the components among its own task_edges
+    edges; what is left is renamed, trimmed of nodes without callers or callees, and dealt to fewer tasks, until
+    one task holds the rest. Where a round hardly shrinks the graph (long cycles across all tasks), a round of colors follows: the smallest
+    id that reaches a node is its color, and of a color those that reach its root make a component.
     """
     pairs = written(_pairs(edges))
     every = nodes(pairs) if vertices is None else nodes(pairs).union(_ids(vertices)).distinct()
-    pairs = written(pairs.filter("caller_id <> callee_id"))
-    parts: list[DataFrame] = []
-    while not pairs.isEmpty():
-        if pairs.limit(rest + 1).count() <= rest:
-            parts.append(written(_rest(pairs)))
+    pairs, names = written(pairs.filter("caller_id <> callee_id")), None
+    n = pairs.count()
+    while n:
+        tasks = -(-n // task_edges)
+        names = _followed(names, found := written(_contracted(pairs, tasks)))
+        if tasks == 1:
             break
-        for _ in range(4):  # more trimming than that is cheaper done by the colors
-            both = pairs.select(F.col("caller_id").alias("id")).distinct().intersect(pairs.select(F.col("callee_id").alias("id")).distinct())
-            both = written(both)
-            kept = pairs.join(both.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi")
-            pairs = written(kept.join(both.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi"))
-        if pairs.isEmpty():
-            break
-        colors = _spread(nodes(pairs).withColumn("color", F.col("id")), pairs)
-        inside = pairs.join(colors.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(colors.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
-        inside = written(inside)
-        back = reverse(inside)
-        members = reachable(colors.filter("id = color").select("id"), back)
-        found = written(colors.join(members, "id", "left_semi").select("id", F.col("color").alias("scc_id")))
-        parts.append(found)
-        gone = found.select("id")
-        left = inside.select("caller_id", "callee_id")  # a component has one color
-        pairs = written(left.join(gone.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti").join(gone.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti"))
-    if not parts:
+        pairs = _trimmed(_trimmed(written(_renamed(pairs, found))))
+        if pairs.count() > 0.8 * n:
+            found, pairs = _by_color(pairs)
+            names = _followed(names, found)
+        n = pairs.count()
+    if names is None:
         return every.select("id", F.col("id").alias("scc_id"))
-    known = parts[0]
-    for p in parts[1:]:
-        known = known.union(p)
-    return every.join(known, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"))
+    return every.join(names, "id", "left").select("id", F.coalesce("name", "id").alias("scc_id"))
 
 
 def recursive(components: DataFrame) -> DataFrame:
@@ -189,30 +222,31 @@ def external_callees(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(scc_id, level): longest way to a leaf of the condensation; leaves have level 0."""
+    """(scc_id, level): longest way to a leaf of the condensation; leaves have level 0.
+
+    Those with level L + 1 or more are the callers of those with level L or more, so one join gives
+    each next set; a round makes HOPS of them. A component's level is the last set that has it.
+    """
     dag = written(condensation(edges, components))
-    every = written(components.select("scc_id").distinct())
-    done, level = Rounds(), 0
-    open_ = every
-    while level == 0 or not open_.isEmpty():
-        blocked = dag.join(open_.withColumnRenamed("scc_id", "dst"), "dst", "left_semi").select(F.col("src").alias("scc_id")).distinct()
-        now = done.add(open_.join(blocked, "scc_id", "left_anti").withColumn("level", F.lit(level)))
-        if now.isEmpty() and not open_.isEmpty():
+    sets, level = Rounds(), 0
+    last = sets.add(components.select("scc_id").distinct().withColumn("level", F.lit(0)))
+    n = last.count()
+    while n:
+        steps = [last.select("scc_id")]
+        for _ in range(HOPS):
+            steps.append(dag.join(steps[-1].withColumnRenamed("scc_id", "dst"), "dst", "left_semi").select(F.col("src").alias("scc_id")).distinct())
+        made = sets.add(reduce(DataFrame.union, [s.withColumn("level", F.lit(level + i)) for i, s in enumerate(steps) if i]))
+        level += HOPS
+        last, before = made.filter(F.col("level") == level), n
+        n = last.count()
+        if n == before:
             raise ValueError("the condensation has a cycle")
-        open_ = written(open_.join(now, "scc_id", "left_anti"))
-        level += 1
-    return done.all()
+    return sets.all().groupBy("scc_id").agg(F.max("level").alias("level"))
 
 
 def topological(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(position, scc_id, level): callees first; inside a level by name."""
-    from pyspark.sql import Window
-
-    ranked = levels(edges, components)
-    sizes = ranked.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("level").orderBy("scc_id"))
-    return ranked.withColumn("i", inside).join(before.select("level", "before"), "level").select((F.col("before") + F.col("i") - 1).alias("position"), "scc_id", "level")
+    """(position, scc_id, level): callees first; inside a level by name. Numbers come from counts of sorted partitions."""
+    return numbered(levels(edges, components), ["level", "scc_id"], "position")
 
 
 def stats(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHILDREN
+from ..storage import written
 from .lookup import is_stub
 
 
@@ -79,14 +80,19 @@ def delete(df: DataFrame, keys: DataFrame, column: str, key: str = "id") -> Data
     return df.join(keys.select(F.col(key).alias("_k")).distinct(), F.col(column) == F.col("_k"), "left_anti")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows' places in an order, from 0. They come from counts of sorted partitions, not from one task that sorts all."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    rows = written(rows.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")  # a row for each partition
+
+
 def assign_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Ids after the largest existing one. Numbers come from partition counts, not from one global sort."""
+    """Ids after the largest existing one, in an order."""
     top = existing.agg(F.max("id")).first()[0] or 0
-    sorted_ = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sorted_ = sorted_.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    counts = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_s", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    return sorted_.join(F.broadcast(starts), "_p").withColumn("id", F.lit(top) + F.coalesce("_s", F.lit(0)) + F.col("_i") + 1).drop("_p", "_i", "_n", "_s")
+    return numbered(new, order, "id").withColumn("id", F.col("id") + top + 1)
 
 
 def stubs(calls: DataFrame) -> DataFrame:

@@ -12,11 +12,10 @@ from .functions import paths, payloads, scores, text
 from .operators import graph, incremental, listing, lookup, merge, resolve, transcript
 from .plans import evaluate, passes, stats
 from .sources import snapshot
-from .views import FUNCTIONS, ISSUES, LINES, REVIEWS, SUMMARIES, TEXTS, Tables, edges_sql
+from .views import DAG, EDGES, FUNCTIONS, ISSUES, LINES, REVIEWS, SUMMARIES, TEXTS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-E44, E48 = edges_sql(44), edges_sql(48)
 
 
 def query(sql: str | None = None):
@@ -93,14 +92,14 @@ def show_page(t):
     return lookup.page(t.functions, t.summaries, name="widget", limit=500, offset=20).select("id", "name")
 
 
-@query(f"WITH {E44} SELECT DISTINCT caller_id FROM call_edges WHERE callee_id = 44")
+@query(f"WITH {EDGES} SELECT DISTINCT caller_id FROM call_edges WHERE callee_id = 44")
 def callers_of(t):
-    return lookup.callers(t.edges(44), 44)
+    return lookup.callers(t.edges, 44)
 
 
-@query(f"WITH {E44} SELECT DISTINCT callee_id FROM call_edges WHERE caller_id = 44")
+@query(f"WITH {EDGES} SELECT DISTINCT callee_id FROM call_edges WHERE caller_id = 44")
 def callees_of(t):
-    return lookup.callees(t.edges(44), 44)
+    return lookup.callees(t.edges, 44)
 
 
 @query(f"WITH {FUNCTIONS} SELECT id, name FROM functions WHERE name <> 'main' AND NOT regexp_matches(name, '^(bad|good)[0-9]+$') AND (ends_with(name, '_red') OR starts_with(name, 'red')) AND name <> 'red ring'")
@@ -112,9 +111,9 @@ def task_functions(t):
 # --- joins and listings
 
 
-@query(f"WITH {E44}, {FUNCTIONS} SELECT caller_id, a.name AS caller, callee_id, b.name AS callee FROM call_edges JOIN functions a ON a.id = caller_id JOIN functions b ON b.id = callee_id")
+@query(f"WITH {EDGES}, {FUNCTIONS} SELECT caller_id, a.name AS caller, callee_id, b.name AS callee FROM call_edges JOIN functions a ON a.id = caller_id JOIN functions b ON b.id = callee_id")
 def callgraph_export(t):
-    return listing.call_graph(t.edges(44), t.functions).select("caller_id", "caller", "callee_id", "callee")
+    return listing.call_graph(t.edges, t.functions).select("caller_id", "caller", "callee_id", "callee")
 
 
 @query(f"WITH {FUNCTIONS}, {SUMMARIES} SELECT function_id, name, file_path, updated_at FROM summaries JOIN functions ON id = function_id")
@@ -143,25 +142,25 @@ def review_maps(t):
     return listing.review_map(t.reviews).select("function_id", F.size("reviews").cast("long").alias("n"))
 
 
-@query(f"WITH {E44}, {E48.replace('r0', 'r1').replace('call_edges', 'hot')}, {FUNCTIONS} SELECT e.caller_id, e.callee_id, f.name || CASE WHEN h.caller_id IS NOT NULL THEN ' [indirect]' ELSE '' END AS callee FROM call_edges e JOIN functions f ON f.id = e.callee_id LEFT JOIN hot h ON h.caller_id = e.caller_id AND h.callee_id = e.callee_id")
+@query(f"WITH {EDGES}, {DAG.replace('r0', 'r1').replace('call_edges', 'hot')}, {FUNCTIONS} SELECT e.caller_id, e.callee_id, f.name || CASE WHEN h.caller_id IS NOT NULL THEN ' [indirect]' ELSE '' END AS callee FROM call_edges e JOIN functions f ON f.id = e.callee_id LEFT JOIN hot h ON h.caller_id = e.caller_id AND h.callee_id = e.callee_id")
 def callee_list(t):
-    e = t.edges(44).withColumn("is_indirect", F.lit(False)).union(t.edges(48).join(t.edges(44), ["caller_id", "callee_id"], "left_semi").withColumn("is_indirect", F.lit(True)))
+    e = t.edges.withColumn("is_indirect", F.lit(False)).union(t.dag.join(t.edges, ["caller_id", "callee_id"], "left_semi").withColumn("is_indirect", F.lit(True)))
     return listing.callee_list(e, t.functions)
 
 
-@query(f"WITH {E44}, {FUNCTIONS} SELECT callee_id, caller_id, name, substr(source, 1, 8) AS source, length(source) > 8 AS truncated FROM call_edges JOIN functions ON id = caller_id")
+@query(f"WITH {EDGES}, {FUNCTIONS} SELECT callee_id, caller_id, name, substr(source, 1, 8) AS source, length(source) > 8 AS truncated FROM call_edges JOIN functions ON id = caller_id")
 def caller_list(t):
-    return listing.caller_list(t.edges(44), t.functions, 8)
+    return listing.caller_list(t.edges, t.functions, 8)
 
 
-@query(f"""WITH {E44}, {FUNCTIONS}, a AS (SELECT id, 'short ' || source AS text FROM functions WHERE line_start > 25), b AS (SELECT id, 'raw ' || name AS text FROM functions WHERE line_start > 10),
+@query(f"""WITH {EDGES}, {FUNCTIONS}, a AS (SELECT id, 'short ' || source AS text FROM functions WHERE line_start > 25), b AS (SELECT id, 'raw ' || name AS text FROM functions WHERE line_start > 10),
     p AS (SELECT e.caller_id, f.name, f.id, coalesce(a.text, b.text) AS text FROM call_edges e JOIN functions f ON f.id = e.callee_id LEFT JOIN a ON a.id = f.id LEFT JOIN b ON b.id = f.id)
     SELECT caller_id, string_agg('- ' || name || ': ' || text, chr(10) ORDER BY name, id) AS section FROM p WHERE text IS NOT NULL GROUP BY caller_id""")
 def callee_sections(t):
     f = t.functions
     a = f.filter("line_start > 25").select(F.col("id").alias("function_id"), F.concat(F.lit("short "), "source").alias("text"))
     b = f.filter("line_start > 10").select(F.col("id").alias("function_id"), F.concat(F.lit("raw "), "name").alias("text"))
-    return listing.callee_sections(t.edges(44), [a, b], f)
+    return listing.callee_sections(t.edges, [a, b], f)
 
 
 @query(f"WITH {FUNCTIONS}, w AS (SELECT o_orderkey AS id, o_orderpriority AS name, o_orderstatus AS file_path FROM orders), d AS (SELECT o_orderpriority AS name, 'def ' || o_orderpriority || ' ' || o_orderstatus AS definition, o_orderstatus AS src FROM orders GROUP BY 1, 2, 3), m AS (SELECT w.id, w.name, d.definition, row_number() OVER (PARTITION BY w.id, w.name ORDER BY (w.file_path <> d.src), length(d.definition), d.definition) AS r FROM w JOIN d ON d.name = w.name) SELECT id, name, definition FROM m WHERE r = 1")
@@ -211,10 +210,10 @@ def resolution_cascade(t):
     return resolve.cascade(w, f.withColumns({"line_start": F.lit(1), "line_end": F.lit(2)}))
 
 
-@query(f"WITH {E44}, a AS (SELECT caller_id, callee_id, row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) AS i FROM call_edges), b AS (SELECT o_custkey AS caller_id, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) SELECT caller_id, callee_id, target FROM a LEFT JOIN b USING (caller_id, i)")
+@query(f"WITH {EDGES}, a AS (SELECT caller_id, callee_id, row_number() OVER (PARTITION BY caller_id ORDER BY callee_id) AS i FROM call_edges), b AS (SELECT o_custkey AS caller_id, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) SELECT caller_id, callee_id, target FROM a LEFT JOIN b USING (caller_id, i)")
 def positional_backfill(t):
     b = t.orders.select(F.col("o_custkey").alias("caller_id"), F.col("o_orderkey").alias("target"), "o_orderdate")
-    return resolve.zipped(t.edges(44), b, "caller_id", ["callee_id"], ["o_orderdate", "target"]).select("caller_id", "callee_id", "target")
+    return resolve.zipped(t.edges, b, "caller_id", ["callee_id"], ["o_orderdate", "target"]).select("caller_id", "callee_id", "target")
 
 
 @query(f"WITH {FUNCTIONS}, {SUMMARIES}, d AS (SELECT p_name AS name, max(p_retailprice)::VARCHAR AS summary_json FROM part WHERE p_size > 20 GROUP BY p_name) SELECT id AS function_id, summary_json FROM functions JOIN d USING (name) WHERE id NOT IN (SELECT function_id FROM summaries)")
@@ -223,10 +222,10 @@ def import_dep_summaries(t):
     return resolve.import_summaries(t.functions.select("id", "name"), d, t.summaries.select("function_id"))
 
 
-@query(f"WITH {E44}, {E48.replace('r0', 'r1').replace('call_edges', 'have')}, m AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part) SELECT DISTINCT x.b AS caller_id, y.b AS callee_id FROM call_edges JOIN m x ON x.a = caller_id JOIN m y ON y.a = callee_id WHERE (x.b, y.b) NOT IN (SELECT caller_id, callee_id FROM have)")
+@query(f"WITH {EDGES}, {DAG.replace('r0', 'r1').replace('call_edges', 'have')}, m AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part) SELECT DISTINCT x.b AS caller_id, y.b AS callee_id FROM call_edges JOIN m x ON x.a = caller_id JOIN m y ON y.a = callee_id WHERE (x.b, y.b) NOT IN (SELECT caller_id, callee_id FROM have)")
 def remap_edges(t):
     ids = t.part.select(F.col("p_partkey").alias("old_id"), F.floor(F.col("p_partkey") / 2).cast("long").alias("new_id"))
-    return resolve.remap_edges(t.edges(44), ids, t.edges(48))
+    return resolve.remap_edges(t.edges, ids, t.dag)
 
 
 @query(f"WITH {FUNCTIONS}, d AS (SELECT p_partkey + 100000 AS dep_id, p_name AS name, p_size <= 25 AS bare FROM part) SELECT f.id, arg_min(dep_id, {{'b': bare, 'd': dep_id}}) AS dep_id FROM functions f JOIN d USING (name) WHERE f.source = '' GROUP BY f.id")
@@ -346,9 +345,9 @@ def confirmed_matches(t):
 # --- graph
 
 
-@query(f"WITH {E44} SELECT caller_id, array_to_string(list_sort(list(DISTINCT callee_id)), ',') AS callees FROM call_edges GROUP BY 1")
+@query(f"WITH {EDGES} SELECT caller_id, array_to_string(list_sort(list(DISTINCT callee_id)), ',') AS callees FROM call_edges GROUP BY 1")
 def adjacency(t):
-    return graph.adjacency(t.edges(44)).select("caller_id", F.array_join("callees", ",").alias("callees"))
+    return graph.adjacency(t.edges).select("caller_id", F.array_join("callees", ",").alias("callees"))
 
 
 @query("SELECT l_orderkey AS caller_id, count(*) AS calls, count(DISTINCT l_suppkey) AS callees FROM lineitem GROUP BY 1")
@@ -356,72 +355,72 @@ def adjacency_degree(t):
     return graph.degrees(t.lineitem.select(F.col("l_orderkey").alias("caller_id"), F.col("l_suppkey").alias("callee_id")))
 
 
-@query(f"WITH RECURSIVE {E44}, r(id) AS (SELECT id FROM (VALUES (1), (2), (3)) v(id) UNION SELECT callee_id FROM r JOIN call_edges ON caller_id = id) SELECT id::BIGINT AS id FROM r")
+@query(f"WITH RECURSIVE {EDGES}, r(id) AS (SELECT id FROM (VALUES (1), (2), (3)) v(id) UNION SELECT callee_id FROM r JOIN call_edges ON caller_id = id) SELECT id::BIGINT AS id FROM r")
 def reachable_from(t):
-    return graph.reachable(t.spark.createDataFrame([(1,), (2,), (3,)], "id long"), t.edges(44))
+    return graph.reachable(t.spark.createDataFrame([(1,), (2,), (3,)], "id long"), t.edges)
 
 
-@query(f"WITH RECURSIVE {E44}, r(id) AS (SELECT id FROM (VALUES (5), (6)) v(id) UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = id) SELECT id::BIGINT AS id FROM r")
+@query(f"WITH RECURSIVE {EDGES}, r(id) AS (SELECT id FROM (VALUES (5), (6)) v(id) UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = id) SELECT id::BIGINT AS id FROM r")
 def affected_by(t):
-    return graph.affected(t.spark.createDataFrame([(5,), (6,)], "id long"), t.edges(44))
+    return graph.affected(t.spark.createDataFrame([(5,), (6,)], "id long"), t.edges)
 
 
-_SCC = f"""{E44}, r(a, b) AS (SELECT caller_id, callee_id FROM call_edges UNION SELECT r.a, e.callee_id FROM r JOIN call_edges e ON r.b = e.caller_id),
+_SCC = f"""{EDGES}, r(a, b) AS (SELECT caller_id, callee_id FROM call_edges UNION SELECT r.a, e.callee_id FROM r JOIN call_edges e ON r.b = e.caller_id),
     n AS (SELECT caller_id AS x FROM call_edges UNION SELECT callee_id FROM call_edges), m AS (SELECT c.a, c.b FROM r c JOIN r d ON d.a = c.b AND d.b = c.a),
     scc AS (SELECT n.x AS id, least(n.x, coalesce(min(m.b), n.x)) AS scc_id FROM n LEFT JOIN m ON m.a = n.x GROUP BY n.x)"""
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT id, scc_id FROM scc")
 def scc_members(t):
-    return graph.sccs(t.edges(44))
+    return graph.sccs(t.edges)
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT scc_id, count(*) AS n FROM scc GROUP BY 1")
 def scc_sizes(t):
-    return graph.sccs(t.edges(44)).groupBy("scc_id").agg(F.count(F.lit(1)).alias("n"))
+    return graph.sccs(t.edges).groupBy("scc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT id FROM scc WHERE scc_id IN (SELECT scc_id FROM scc GROUP BY 1 HAVING count(*) > 1)")
 def recursive_nodes(t):
-    return graph.recursive(graph.sccs(t.edges(44)))
+    return graph.recursive(graph.sccs(t.edges))
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT DISTINCT x.scc_id AS src, y.scc_id AS dst FROM call_edges JOIN scc x ON x.id = caller_id JOIN scc y ON y.id = callee_id WHERE x.scc_id <> y.scc_id")
 def scc_dag_edges(t):
-    e = t.edges(44)
+    e = t.edges
     return graph.condensation(e, graph.sccs(e))
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT DISTINCT x.scc_id, callee_id FROM call_edges JOIN scc x ON x.id = caller_id JOIN scc y ON y.id = callee_id WHERE x.scc_id <> y.scc_id")
 def external_callees(t):
-    e = t.edges(44)
+    e = t.edges
     return graph.external_callees(e, graph.sccs(e))
 
 
 @query(f"WITH RECURSIVE {_SCC}, s AS (SELECT scc_id, count(*) AS n FROM scc GROUP BY 1) SELECT sum(n)::BIGINT AS nodes, (SELECT count(*) FROM call_edges) AS edges, count(*) AS sccs, count(*) FILTER (WHERE n > 1) AS recursive_sccs, max(n) AS largest_scc FROM s")
 def graph_stats(t):
-    e = t.edges(44)
+    e = t.edges
     return graph.stats(e, graph.sccs(e))
 
 
-_LEVELS = f"{E48}, n AS (SELECT caller_id AS x FROM call_edges UNION SELECT callee_id FROM call_edges), d(x, l) AS (SELECT x, 0 FROM n UNION SELECT caller_id, l + 1 FROM d JOIN call_edges ON callee_id = x), lv AS (SELECT x AS scc_id, max(l) AS level FROM d GROUP BY x)"
+_LEVELS = f"{DAG}, n AS (SELECT caller_id AS x FROM call_edges UNION SELECT callee_id FROM call_edges), d(x, l) AS (SELECT x, 0 FROM n UNION SELECT caller_id, l + 1 FROM d JOIN call_edges ON callee_id = x), lv AS (SELECT x AS scc_id, max(l) AS level FROM d GROUP BY x)"
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT scc_id, level FROM lv")
 def parallel_levels(t):
-    e = t.edges(48)
+    e = t.dag
     return graph.levels(e, graph.sccs(e))
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT row_number() OVER (ORDER BY level, scc_id) - 1 AS position, scc_id, level FROM lv")
 def topological_order(t):
-    e = t.edges(48)
+    e = t.dag
     return graph.topological(e, graph.sccs(e))
 
 
-@query(f"WITH {E44}, {FUNCTIONS}, v AS (SELECT id FROM functions WHERE line_start > 10) SELECT id FROM v WHERE id NOT IN (SELECT callee_id FROM call_edges WHERE caller_id IN (SELECT id FROM v) AND caller_id <> callee_id)")
+@query(f"WITH {EDGES}, {FUNCTIONS}, v AS (SELECT id FROM functions WHERE line_start > 10) SELECT id FROM v WHERE id NOT IN (SELECT callee_id FROM call_edges WHERE caller_id IN (SELECT id FROM v) AND caller_id <> callee_id)")
 def entry_functions(t):
-    return graph.entries(t.edges(44), t.functions.filter("line_start > 10"))
+    return graph.entries(t.edges, t.functions.filter("line_start > 10"))
 
 
 @query("""WITH m AS (SELECT DISTINCT c_custkey AS s, o_orderpriority AS member FROM orders JOIN customer ON c_custkey = o_custkey), z AS (SELECT s, count(*) AS n FROM m GROUP BY s),
@@ -433,28 +432,28 @@ def subset_alias(t):
     return graph.aliases(m.select("name", "pos").distinct(), m.select("name", "member"))
 
 
-@query(f"""WITH RECURSIVE {E44}, two AS (SELECT caller_id AS a, callee_id AS b FROM call_edges UNION SELECT callee_id, caller_id FROM call_edges),
+@query(f"""WITH RECURSIVE {EDGES}, two AS (SELECT caller_id AS a, callee_id AS b FROM call_edges UNION SELECT callee_id, caller_id FROM call_edges),
     c AS (SELECT p_partkey AS x FROM part WHERE p_size > 12), r(x) AS (SELECT x FROM (VALUES (1), (2), (3), (4)) v(x) UNION SELECT b FROM r JOIN two ON a = r.x WHERE b IN (SELECT x FROM c)) SELECT x::VARCHAR AS name FROM r WHERE x IN (SELECT x FROM c)""")
 def confirm_fixpoint(t):
     s = lambda c: F.col(c).cast("string")
     known = t.spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "name string")
-    return graph.confirm(t.part.filter("p_size > 12").select(s("p_partkey").alias("name")), known, t.edges(44).select(s("caller_id").alias("a"), s("callee_id").alias("b")))
+    return graph.confirm(t.part.filter("p_size > 12").select(s("p_partkey").alias("name")), known, t.edges.select(s("caller_id").alias("a"), s("callee_id").alias("b")))
 
 
-_ALIAS = f"{E44}, p AS (SELECT c_custkey AS a, (c_custkey * 7) % 1500 AS b FROM customer), k AS (SELECT p_partkey AS node, p_partkey % 400 AS class FROM part), rr AS (SELECT DISTINCT caller_id % 400 AS class, callee_id % 400 AS other FROM call_edges)"
+_ALIAS = f"{EDGES}, p AS (SELECT c_custkey AS a, (c_custkey * 7) % 1500 AS b FROM customer), k AS (SELECT p_partkey AS node, p_partkey % 400 AS class FROM part), rr AS (SELECT DISTINCT caller_id % 400 AS class, callee_id % 400 AS other FROM call_edges)"
 
 
 @query(f"WITH {_ALIAS} SELECT a, b, (x.class, y.class) IN (SELECT class, other FROM rr) AS may_alias FROM p JOIN k x ON x.node = a JOIN k y ON y.node = b")
 def may_alias(t):
     pairs = t.customer.select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7) % 1500).alias("b")).join(t.part.select(F.col("p_partkey").alias("a")), "a", "left_semi").join(t.part.select(F.col("p_partkey").alias("b")), "b", "left_semi").select("a", "b")
     k = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 400).alias("class"))
-    r = t.edges(44).select((F.col("caller_id") % 400).alias("class"), (F.col("callee_id") % 400).alias("other"))
+    r = t.edges.select((F.col("caller_id") % 400).alias("class"), (F.col("callee_id") % 400).alias("other"))
     return snapshot.may_alias(pairs, k, r)
 
 
 @query(f"WITH RECURSIVE {_LEVELS}, c AS (SELECT caller_id, count(*) AS n FROM call_edges GROUP BY 1) SELECT p_partkey AS function_id, coalesce(level, 0) AS depth, coalesce(n, 0) AS calls FROM part LEFT JOIN lv ON scc_id = p_partkey LEFT JOIN c ON caller_id = p_partkey")
 def passes_depth(t):
-    out = passes.run(t.functions, t.edges(48), [passes.depth_pass()])
+    out = passes.run(t.functions, t.dag, [passes.depth_pass()])
     return out.select("function_id", F.get_json_object("payload", "$.depth").cast("int").alias("depth"), F.get_json_object("payload", "$.calls").cast("long").alias("calls"))
 
 
@@ -470,31 +469,31 @@ def dirty_missing(t):
     return incremental.missing(t.functions, t.summaries)
 
 
-@query(f"WITH {E44}, {FUNCTIONS}, {SUMMARIES}, {_STALE} SELECT id FROM stale")
+@query(f"WITH {EDGES}, {FUNCTIONS}, {SUMMARIES}, {_STALE} SELECT id FROM stale")
 def dirty_stale(t):
-    return incremental.stale(t.functions, t.edges(44), t.summaries)
+    return incremental.stale(t.functions, t.edges, t.summaries)
 
 
-@query(f"WITH {E44}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, {_MISSING} SELECT id FROM stale UNION SELECT id FROM missing")
+@query(f"WITH {EDGES}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, {_MISSING} SELECT id FROM stale UNION SELECT id FROM missing")
 def dirty_all(t):
-    return incremental.dirty(t.functions, t.edges(44), t.summaries)
+    return incremental.dirty(t.functions, t.edges, t.summaries)
 
 
-@query(f"""WITH {E44}, {FUNCTIONS}, {SUMMARIES}, u AS (SELECT o_custkey AS function_id, o_orderdate AS updated_at FROM orders WHERE o_orderstatus = 'F'), v AS (SELECT function_id, min(updated_at) AS updated_at FROM u GROUP BY 1)
+@query(f"""WITH {EDGES}, {FUNCTIONS}, {SUMMARIES}, u AS (SELECT o_custkey AS function_id, o_orderdate AS updated_at FROM orders WHERE o_orderstatus = 'F'), v AS (SELECT function_id, min(updated_at) AS updated_at FROM u GROUP BY 1)
     SELECT DISTINCT caller_id AS id FROM call_edges JOIN functions f ON f.id = caller_id JOIN v b ON b.function_id = caller_id JOIN (SELECT * FROM v UNION ALL SELECT * FROM u) a ON a.function_id = callee_id WHERE a.updated_at > b.updated_at AND f.source <> ''""")
 def dirty_verify(t):
     u = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("function_id"), F.col("o_orderdate").alias("updated_at"))
-    return incremental.stale(t.functions, t.edges(44), u.groupBy("function_id").agg(F.min("updated_at").alias("updated_at")), [u])
+    return incremental.stale(t.functions, t.edges, u.groupBy("function_id").agg(F.min("updated_at").alias("updated_at")), [u])
 
 
-@query(f"WITH {E44}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, {_MISSING} SELECT 'a' AS pass, id FROM (SELECT id FROM stale UNION SELECT id FROM missing) UNION ALL SELECT 'b', id FROM functions WHERE source <> ''")
+@query(f"WITH {EDGES}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, {_MISSING} SELECT 'a' AS pass, id FROM (SELECT id FROM stale UNION SELECT id FROM missing) UNION ALL SELECT 'b', id FROM functions WHERE source <> ''")
 def dirty_by_pass(t):
-    return incremental.dirty_by_pass(t.functions, t.edges(44), {"a": t.summaries, "b": t.summaries.limit(0)})
+    return incremental.dirty_by_pass(t.functions, t.edges, {"a": t.summaries, "b": t.summaries.limit(0)})
 
 
-@query(f"WITH RECURSIVE {E44}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, r(id) AS (SELECT id FROM stale UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = r.id) SELECT id FROM r")
+@query(f"WITH RECURSIVE {EDGES}, {FUNCTIONS}, {SUMMARIES}, {_STALE}, r(id) AS (SELECT id FROM stale UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = r.id) SELECT id FROM r")
 def dirty_closure(t):
-    e = t.edges(44)
+    e = t.edges
     return incremental.to_do(incremental.stale(t.functions, e, t.summaries), e)
 
 
@@ -539,9 +538,9 @@ def file_changes(t):
     return incremental.file_changes(c.filter("c_nationkey <= 20"), new)
 
 
-@query(f"WITH RECURSIVE {E44}, {SUMMARIES}, r(id) AS (SELECT id FROM (VALUES (5), (6)) v(id) UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = id) SELECT function_id, n FROM summaries WHERE function_id NOT IN (SELECT id FROM r)")
+@query(f"WITH RECURSIVE {EDGES}, {SUMMARIES}, r(id) AS (SELECT id FROM (VALUES (5), (6)) v(id) UNION SELECT caller_id FROM r JOIN call_edges ON callee_id = id) SELECT function_id, n FROM summaries WHERE function_id NOT IN (SELECT id FROM r)")
 def invalidate_cascade(t):
-    return incremental.invalidate(t.summaries, t.spark.createDataFrame([(5,), (6,)], "id long"), t.edges(44)).select("function_id", "n")
+    return incremental.invalidate(t.summaries, t.spark.createDataFrame([(5,), (6,)], "id long"), t.edges).select("function_id", "n")
 
 
 @query(f"WITH {FUNCTIONS}, {SUMMARIES}, c AS (SELECT name, source_hash, max(id)::VARCHAR AS j FROM functions WHERE line_start > 20 AND source_hash IS NOT NULL GROUP BY 1, 2) SELECT f.id AS function_id, j AS summary_json FROM functions f JOIN c USING (name, source_hash) WHERE f.id NOT IN (SELECT function_id FROM summaries)")
@@ -595,9 +594,9 @@ def delete_keyed(t):
     return merge.delete(_old(t), _new(t), "id").select("id", "name")
 
 
-@query(f"WITH {FUNCTIONS}, {E44}, s AS (SELECT id FROM functions WHERE source = '') SELECT caller_id, callee_id FROM call_edges WHERE caller_id NOT IN (SELECT id FROM s) AND callee_id NOT IN (SELECT id FROM s)")
+@query(f"WITH {FUNCTIONS}, {EDGES}, s AS (SELECT id FROM functions WHERE source = '') SELECT caller_id, callee_id FROM call_edges WHERE caller_id NOT IN (SELECT id FROM s) AND callee_id NOT IN (SELECT id FROM s)")
 def clear_stubs(t):
-    return merge.clear_stubs({"functions": t.functions, "call_edges": t.edges(44)})["call_edges"]
+    return merge.clear_stubs({"functions": t.functions, "call_edges": t.edges})["call_edges"]
 
 
 @query(f"WITH {FUNCTIONS}, h AS (SELECT p_name AS name, min(p_brand) AS header FROM part GROUP BY 1) SELECT id, CASE WHEN source = '' THEN header END AS decl_header FROM functions LEFT JOIN h USING (name)")
@@ -606,9 +605,9 @@ def decl_headers(t):
     return merge.update_decl_headers(t.functions.withColumn("decl_header", F.lit(None).cast("string")), h).select("id", "decl_header")
 
 
-@query(f"WITH {FUNCTIONS}, {E44}, {SUMMARIES} SELECT function_id, CASE WHEN function_id IN (SELECT id FROM functions WHERE source = '' AND id IN (SELECT callee_id FROM call_edges)) THEN TIMESTAMP '2030-01-01' ELSE updated_at END AS updated_at FROM summaries")
+@query(f"WITH {FUNCTIONS}, {EDGES}, {SUMMARIES} SELECT function_id, CASE WHEN function_id IN (SELECT id FROM functions WHERE source = '' AND id IN (SELECT callee_id FROM call_edges)) THEN TIMESTAMP '2030-01-01' ELSE updated_at END AS updated_at FROM summaries")
 def touch_stubs(t):
-    return merge.touch(t.summaries, t.functions, t.edges(44), F.lit("2030-01-01").cast("timestamp_ntz")).select("function_id", "updated_at")
+    return merge.touch(t.summaries, t.functions, t.edges, F.lit("2030-01-01").cast("timestamp_ntz")).select("function_id", "updated_at")
 
 
 @query("SELECT c_name AS name, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_name) AS id FROM customer")
@@ -827,7 +826,7 @@ def grouped_spans(t):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what an incremental run must summarise again, with names, in order of levels."""
     t = Tables(spark, sf_dir)
-    edges = t.edges(44)
+    edges = t.edges
     todo = incremental.to_do(incremental.dirty(t.functions, edges, t.summaries), edges)
     components = graph.sccs(edges, t.functions.select("id"))
     placed = todo.join(components, "id").join(graph.levels(edges, components), "scc_id")

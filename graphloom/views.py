@@ -1,13 +1,13 @@
 """The fact tables as projections of the driver's tables, in Spark and as SQL.
 
-EDGES_SQL(44) has cycles, EDGES_SQL(48) has none at the checked scale.
+EDGES has cycles, DAG has none; both are read from all lines and orders.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import issue_fingerprint, source_hash
@@ -30,10 +30,33 @@ class Tables:
         f = self.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_start"), (F.col("p_size") + 10).alias("line_end"), source.alias("source"))
         return f.withColumn("source_hash", source_hash(F.col("source")))
 
-    def edges(self, threshold: int) -> DataFrame:
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-        rows = self.lineitem.filter(F.col("l_quantity") >= threshold).select(F.col("l_partkey").alias("caller_id"), F.lead("l_partkey").over(w).alias("callee_id"))
-        return rows.filter("callee_id is not null and callee_id <> caller_id").distinct()
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Of each customer's orders of one status: a call from the part of the first line to that of the last one."""
+        rows = self.lineitem.join(self.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+        place = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+        ends = rows.groupBy("o_custkey", "o_orderstatus").agg(F.min(place)["l_partkey"].alias("caller_id"), F.max(place)["l_partkey"].alias("callee_id"))
+        return ends.select("caller_id", "callee_id").filter("callee_id <> caller_id").distinct()
+
+    @cached_property
+    def dag(self) -> DataFrame:
+        """The same, from the larger id to the smaller."""
+        return self.edges.select(F.greatest("caller_id", "callee_id").alias("caller_id"), F.least("caller_id", "callee_id").alias("callee_id")).distinct()
+
+    @cached_property
+    def layers(self) -> DataFrame:
+        """A graph of all orders, parts, suppliers and nations: (id, name, weight); an order calls its parts, these their suppliers, these their nation."""
+        parts = [("orders", "o_orderkey", "o_orderpriority", "o_totalprice"), ("part", "p_partkey", "p_name", "p_retailprice"), ("supplier", "s_suppkey", "s_name", "s_acctbal")]
+        rows = self.nation.select((F.col("n_nationkey") * 4 + 3).cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(0).cast("double").alias("weight"))
+        for i, (table, key, name, weight) in enumerate(parts):
+            rows = rows.union(getattr(self, table).select((F.col(key) * 4 + i).cast("long"), name, F.col(weight).cast("double")))
+        return rows
+
+    @cached_property
+    def layer_edges(self) -> DataFrame:
+        line = self.lineitem.select((F.col("l_orderkey") * 4).alias("o"), (F.col("l_partkey") * 4 + 1).alias("p"), (F.col("l_suppkey") * 4 + 2).alias("s"))
+        ways = line.select(F.explode(F.array(F.struct(F.col("o").cast("long").alias("caller_id"), F.col("p").cast("long").alias("callee_id")), F.struct(F.col("p").cast("long"), F.col("s").cast("long")))).alias("e")).select("e.*")
+        return ways.union(self.supplier.select((F.col("s_suppkey") * 4 + 2).cast("long"), (F.col("s_nationkey") * 4 + 3).cast("long"))).distinct()
 
     @cached_property
     def summaries(self) -> DataFrame:
@@ -54,11 +77,11 @@ class Tables:
         return self.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), "doc_id").alias("name"), F.col("lang").alias("signature"), F.col("source").alias("file_path"), F.col("text").alias("source"))
 
 
-def edges_sql(threshold: int) -> str:
-    return f"""r0 AS (SELECT l_partkey AS caller_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS callee_id
-        FROM lineitem WHERE l_quantity >= {threshold}), call_edges AS (SELECT DISTINCT caller_id, callee_id FROM r0 WHERE callee_id IS NOT NULL AND callee_id <> caller_id)"""
-
-
+_ENDS = "r0 AS (SELECT arg_min(l_partkey, {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}) AS a, arg_max(l_partkey, {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}) AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderstatus)"
+EDGES = f"{_ENDS}, call_edges AS (SELECT DISTINCT a AS caller_id, b AS callee_id FROM r0 WHERE a <> b)"
+DAG = f"{_ENDS}, call_edges AS (SELECT DISTINCT greatest(a, b) AS caller_id, least(a, b) AS callee_id FROM r0 WHERE a <> b)"
+#: Edges of the layers, and the weights of each layer.
+LAYERS = "op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), ps AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)"
 FUNCTIONS = "f0 AS (SELECT p_partkey AS id, p_name AS name, p_type AS signature, p_brand AS file_path, p_size AS line_start, p_size + 10 AS line_end, CASE WHEN p_size > 5 THEN p_name || ' ' || p_type ELSE '' END AS source FROM part), functions AS (SELECT *, CASE WHEN source <> '' THEN substr(sha256(source), 1, 16) END AS source_hash FROM f0)"
 SUMMARIES = "summaries AS (SELECT o_custkey AS function_id, max(o_orderdate) AS updated_at, count(*) AS n FROM orders GROUP BY 1)"
 ISSUES = "issues AS (SELECT user_id AS function_id, event_id AS issue_index, event_type AS issue_kind, event_id::VARCHAR AS location, props AS description, value, substr(sha256(event_type || '|' || event_id || '|' || substr(props, 1, 80)), 1, 16) AS fingerprint FROM events)"

@@ -19,14 +19,14 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "caller_id long, callee_id long")
 
 
-def sccs(spark, pairs, rest=0):
-    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs), rest=rest).collect()}
+def sccs(spark, pairs, task_edges=3):
+    return {r.id: r.scc_id for r in graph.sccs(edges(spark, pairs), task_edges=task_edges).collect()}
 
 
 @pytest.mark.parametrize("name", GRAPHS)
 def test_sccs(spark, name):
     pairs, want = GRAPHS[name]
-    assert sccs(spark, pairs) == want == sccs(spark, pairs, 100)
+    assert sccs(spark, pairs) == want
 
 
 def test_isolated_and_empty(spark):
@@ -47,7 +47,7 @@ def test_random_sccs_and_levels(spark):
             reach[a] |= reach[b]
     want = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
     e = edges(spark, pairs)
-    assert sccs(spark, pairs) == want == sccs(spark, pairs, 100)
+    assert sccs(spark, pairs, 15) == want == sccs(spark, pairs, 100)
     over = {(want[a], want[b]) for a, b in pairs if want[a] != want[b]}
 
     def level(x):
@@ -99,3 +99,38 @@ def test_entries_fall_back(spark):
     v = spark.createDataFrame([(1,), (2,)], "id long")
     assert [r.id for r in graph.entries(edges(spark, [(1, 2), (2, 1)]), v).collect()] == [1]
     assert [r.id for r in graph.entries(edges(spark, [(1, 2), (1, 1)]), v).collect()] == [1]
+
+
+def brute(pairs):
+    """Smallest member of each node's component, by closures."""
+    calls, back = {}, {}
+    for a, b in pairs:
+        calls.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+
+    def closure(x, way):
+        seen, work = {x}, [x]
+        while work:
+            for y in way.get(work.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    work.append(y)
+        return seen
+
+    return {x: min(closure(x, calls) & closure(x, back)) for x in {x for p in pairs for x in p}}
+
+
+@pytest.mark.parametrize("task_edges", [60, 10_000])
+def test_contraction_over_many_tasks(spark, task_edges):
+    rng = random.Random(task_edges)
+    ring = [(i * 37 % 61, (i + 1) * 37 % 61) for i in range(61)]  # one cycle across all ranges
+    near = [(200 + i, 200 + max(0, min(59, i + rng.choice([-2, 1, 1, 2])))) for i in range(60)]
+    wide = [(1000, 1001 + i) for i in range(20)] + [(1001 + i, 1000) for i in range(0, 20, 2)]
+    pairs = ring + near + wide + [(rng.randrange(300), rng.randrange(300)) for _ in range(20)]
+    assert sccs(spark, pairs, task_edges) == brute(pairs)
+
+
+def test_levels_refuse_cycles(spark):
+    e = edges(spark, [(1, 2), (2, 1)])
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(e, e.select("caller_id").selectExpr("caller_id AS id", "caller_id AS scc_id"))
