@@ -43,21 +43,28 @@ class Facts:
         self.put("functions", merge.upsert(old, both.select(*columns), keys))
         self.put("function_blocks", merge.delete(self["function_blocks"], met.filter("_id is not null"), "function_id", "_id"))
 
-    def summarize(self, todo: list[passes.Pass], incremental_run: bool = False, reachable_from: DataFrame | None = None) -> DataFrame:
-        """Run passes over all functions, or over dirty ones and what depends on them, and give (pass, function_id, payload)."""
-        functions, edges = self["functions"].filter(~lookup.is_stub(F.col("source"))), self["call_edges"]
-        wanted = functions.select("id")
+    def summarize(self, todo: list[passes.Pass], incremental_run: bool = False, reachable_from: DataFrame | None = None, force: bool = False, model: str = "rules") -> dict[str, DataFrame]:
+        """Run passes in one traversal and store what changed; by pass: (function_id, payload, error, changed, ran).
+
+        incremental_run: from missing and stale functions on, as far as payloads change. reachable_from: (id), only
+        these and what they call.
+        """
+        functions, edges = self["functions"], self["call_edges"]
+        tables = {p.name: self[PASS_TABLES[p.name]] for p in todo}
+        have = {p.name: tables[p.name].select("function_id", F.from_json("summary_json", p.payload).alias("payload")) for p in todo}
+        dirty, targets = None, None
         if incremental_run:
-            dirty = None
-            for p in todo:
-                table = PASS_TABLES[p.name]
-                up = [self[t] for t in VERIFY_UPSTREAM] if p.name == "verify" else None
-                one = incremental.dirty(functions, edges, self[table], up)
-                dirty = one if dirty is None else dirty.union(one)
-            wanted = incremental.to_do(dirty.distinct(), edges).join(functions.select("id"), "id", "left_semi")
+            upstream = {"verify": [self[t] for t in VERIFY_UPSTREAM]}
+            dirty = {p.name: incremental.dirty(functions, edges, tables[p.name], upstream.get(p.name)) for p in todo}
         if reachable_from is not None:
-            wanted = wanted.join(graph.reachable(reachable_from, edges), "id", "left_semi")
-        return passes.run(functions, edges, todo, wanted)
+            targets = graph.reachable(reachable_from, edges)
+        results = passes.run(functions, edges, todo, have, dirty, targets, force)
+        for p in todo:
+            next_ = p.store(have[p.name].limit(0), results[p.name].filter("ran and changed and not error").select("function_id", "payload"))
+            now = F.current_timestamp()
+            rows = next_.select("function_id", F.to_json("payload").alias("summary_json"), now.alias("created_at"), now.alias("updated_at"), F.lit(model).alias("model_used"))
+            self.upsert(PASS_TABLES[p.name], rows, keep=("created_at",))
+        return results
 
     def stats(self) -> DataFrame:
         return stats.by_table(self.tables())

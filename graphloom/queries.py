@@ -12,7 +12,7 @@ from .functions import paths, payloads, scores, text
 from .operators import graph, incremental, listing, lookup, merge, resolve, transcript
 from .plans import evaluate, passes, stats
 from .sources import snapshot
-from .views import DAG, EDGES, FUNCTIONS, ISSUES, LINES, REVIEWS, SUMMARIES, TEXTS, Tables
+from .views import DAG, EDGES, FUNCTIONS, ISSUES, LAYERS, LINES, NODES, REVIEWS, SUMMARIES, TEXTS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,8 +453,69 @@ def may_alias(t):
 
 @query(f"WITH RECURSIVE {_LEVELS}, c AS (SELECT caller_id, count(*) AS n FROM call_edges GROUP BY 1) SELECT p_partkey AS function_id, coalesce(level, 0) AS depth, coalesce(n, 0) AS calls FROM part LEFT JOIN lv ON scc_id = p_partkey LEFT JOIN c ON caller_id = p_partkey")
 def passes_depth(t):
-    out = passes.run(t.functions, t.dag, [passes.depth_pass()])
-    return out.select("function_id", F.get_json_object("payload", "$.depth").cast("int").alias("depth"), F.get_json_object("payload", "$.calls").cast("long").alias("calls"))
+    out = passes.run(t.functions.drop("source"), t.dag, [passes.depth_pass()])["depth"]
+    return out.select("function_id", "payload.*")
+
+
+def _rules(t, name):
+    """Three passes in one run over the layers."""
+    rules = [passes.allocation_pass("[rR]ed|ring", "name"), passes.free_pass("[0-4]", "name"), passes.memsafe_pass("[aeiou]", "name")]
+    return passes.run(t.layers, t.layer_edges, rules)[name].select("function_id", "payload.*")
+
+
+def _layered(own, below):
+    """Rows of each layer from its own (id, name, weight) and those of its callees x, bottom up."""
+    out = [LAYERS]
+    for i, (table, key, name, weight, links) in enumerate(NODES):
+        base = f"SELECT {key} * 4 + {3 - i} AS id, {name} AS name, {weight}::DOUBLE AS weight FROM {table}"
+        if i == 0:
+            out.append(f"y0 AS (SELECT n.id, {own} FROM ({base}) n)")
+        else:
+            out.append(f"y{i} AS (SELECT n.id, {below} FROM ({base}) n LEFT JOIN ({links}) e ON e.caller = n.id LEFT JOIN y{i - 1} x ON x.id = e.callee GROUP BY n.id, n.name, n.weight)")
+    return ", ".join(out) + ", y AS (" + " UNION ALL ".join(f"SELECT * FROM y{i}" for i in range(4)) + ")"
+
+
+def _hits(pattern):
+    return f"len(regexp_extract_all(n.name, '{pattern}'))::BIGINT"
+
+
+_ALLOCATION = _layered(f"{_hits('[rR]ed|ring')} AS sites, sites > 0 AS allocates, '' AS via", f"{_hits('[rR]ed|ring')} AS sites, {_hits('[rR]ed|ring')} > 0 OR coalesce(bool_or(x.allocates), false) AS allocates, coalesce(string_agg(x.id, ',' ORDER BY x.id) FILTER (WHERE x.allocates), '') AS via")
+_FREE = _layered(f"{_hits('[0-4]')} AS sites, CASE WHEN sites > 0 THEN 0 END AS far", f"{_hits('[0-4]')} AS sites, CASE WHEN {_hits('[0-4]')} > 0 THEN 0 ELSE min(x.far) + 1 END AS far")
+_MEMSAFE = _layered(f"{_hits('[aeiou]')} AS own, own AS worst", f"{_hits('[aeiou]')} AS own, {_hits('[aeiou]')} + coalesce(max(x.worst), 0) AS worst")
+
+
+@query(f"WITH {_ALLOCATION} SELECT id::BIGINT AS function_id, sites, allocates, via FROM y")
+def passes_allocation(t):
+    return _rules(t, "allocation").withColumn("via", F.array_join("via", ","))
+
+
+@query(f"WITH {_FREE} SELECT id::BIGINT AS function_id, sites, far::INT AS far FROM y")
+def passes_free(t):
+    return _rules(t, "free")
+
+
+@query(f"WITH {_MEMSAFE} SELECT id::BIGINT AS function_id, own, worst FROM y")
+def passes_memsafe(t):
+    return _rules(t, "memsafe")
+
+
+_MORE = "CASE WHEN s_nationkey = 7 THEN 3000 ELSE 0 END"
+
+
+@query(f"""WITH {LAYERS}, s AS (SELECT s_suppkey AS s, s_nationkey = 7 AS dirty, greatest(s_acctbal, 0) AS was, greatest(s_acctbal + {_MORE}, 0) AS now FROM supplier),
+    p AS (SELECT p_partkey AS p, greatest(p_retailprice, coalesce(max(was), p_retailprice)) AS was, greatest(p_retailprice, coalesce(max(now), p_retailprice)) AS now, coalesce(bool_or(dirty AND was <> now), false) AS ran
+          FROM part LEFT JOIN ps ON ps.p = p_partkey LEFT JOIN s USING (s) GROUP BY p_partkey, p_retailprice),
+    o AS (SELECT o_orderkey AS o, greatest(o_totalprice, coalesce(max(was), o_totalprice)) AS was, greatest(o_totalprice, coalesce(max(now), o_totalprice)) AS now, coalesce(bool_or(ran AND was <> now), false) AS ran
+          FROM orders LEFT JOIN op ON op.o = o_orderkey LEFT JOIN p USING (p) GROUP BY o_orderkey, o_totalprice)
+    SELECT (s * 4 + 2)::BIGINT AS function_id, now::DOUBLE AS top, was <> now AS changed FROM s WHERE dirty UNION ALL SELECT p * 4 + 1, now, was <> now FROM p WHERE ran UNION ALL SELECT o * 4, now, was <> now FROM o WHERE ran""")
+def passes_incremental(t):
+    """What runs again after some weights have grown: callers of what changed, as long as it changes."""
+    grown = t.supplier.filter("s_nationkey = 7").select((F.col("s_suppkey") * 4 + 2).cast("long").alias("id"))
+    after = t.layers.join(grown.withColumn("more", F.lit(3000.0)), "id", "left").withColumn("weight", F.col("weight") + F.coalesce("more", F.lit(0.0))).drop("more")
+    rule = passes.weight_pass()
+    have = {"weight": passes.run(t.layers, t.layer_edges, [rule])["weight"].select("function_id", "payload")}
+    out = passes.run(after, t.layer_edges, [rule], have, {"weight": grown})["weight"]
+    return out.filter("ran").select("function_id", "payload.top", "changed")
 
 
 # --- incremental

@@ -55,7 +55,8 @@ class Tables:
     @cached_property
     def layer_edges(self) -> DataFrame:
         line = self.lineitem.select((F.col("l_orderkey") * 4).alias("o"), (F.col("l_partkey") * 4 + 1).alias("p"), (F.col("l_suppkey") * 4 + 2).alias("s"))
-        ways = line.select(F.explode(F.array(F.struct(F.col("o").cast("long").alias("caller_id"), F.col("p").cast("long").alias("callee_id")), F.struct(F.col("p").cast("long"), F.col("s").cast("long")))).alias("e")).select("e.*")
+        pair = lambda a, b: F.struct(F.col(a).cast("long").alias("caller_id"), F.col(b).cast("long").alias("callee_id"))
+        ways = line.select(F.explode(F.array(pair("o", "p"), pair("p", "s"))).alias("e")).select("e.*")
         return ways.union(self.supplier.select((F.col("s_suppkey") * 4 + 2).cast("long"), (F.col("s_nationkey") * 4 + 3).cast("long"))).distinct()
 
     @cached_property
@@ -80,7 +81,11 @@ class Tables:
 _ENDS = "r0 AS (SELECT arg_min(l_partkey, {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}) AS a, arg_max(l_partkey, {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}) AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderstatus)"
 EDGES = f"{_ENDS}, call_edges AS (SELECT DISTINCT a AS caller_id, b AS callee_id FROM r0 WHERE a <> b)"
 DAG = f"{_ENDS}, call_edges AS (SELECT DISTINCT greatest(a, b) AS caller_id, least(a, b) AS callee_id FROM r0 WHERE a <> b)"
-#: Edges of the layers, and the weights of each layer.
+#: The layers, from the lowest: table, key, name, weight, edges down.
+NODES = (
+    ("nation", "n_nationkey", "n_name", "0", ""), ("supplier", "s_suppkey", "s_name", "s_acctbal", "SELECT s_suppkey * 4 + 2 AS caller, s_nationkey * 4 + 3 AS callee FROM supplier"),
+    ("part", "p_partkey", "p_name", "p_retailprice", "SELECT p * 4 + 1 AS caller, s * 4 + 2 AS callee FROM ps"), ("orders", "o_orderkey", "o_orderpriority", "o_totalprice", "SELECT o * 4 AS caller, p * 4 + 1 AS callee FROM op"),
+)
 LAYERS = "op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), ps AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)"
 FUNCTIONS = "f0 AS (SELECT p_partkey AS id, p_name AS name, p_type AS signature, p_brand AS file_path, p_size AS line_start, p_size + 10 AS line_end, CASE WHEN p_size > 5 THEN p_name || ' ' || p_type ELSE '' END AS source FROM part), functions AS (SELECT *, CASE WHEN source <> '' THEN substr(sha256(source), 1, 16) END AS source_hash FROM f0)"
 SUMMARIES = "summaries AS (SELECT o_custkey AS function_id, max(o_orderdate) AS updated_at, count(*) AS n FROM orders GROUP BY 1)"

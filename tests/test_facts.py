@@ -232,7 +232,7 @@ def test_units(spark):
 def test_passes_on_cycle(spark):
     f = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "caller_id long, callee_id long")
-    got = {r.function_id: json.loads(r.payload)["depth"] for r in passes.run(f, e, [passes.depth_pass()]).collect()}
+    got = {r.function_id: r.payload.depth for r in passes.run(f, e, [passes.depth_pass()])["depth"].collect()}
     assert got[3] == 0 and got[2] >= 1 and set(got) == {1, 2, 3}
 
 

@@ -1,5 +1,6 @@
 """Source rewriting, alias context, and the store's commands."""
 
+import dataclasses
 import json
 
 from pyspark.sql import functions as F
@@ -77,11 +78,11 @@ def test_store_commands(spark, tmp_path):
     after = {r.name: (r.id, r.source) for r in s["functions"].collect()}
     assert {k: after[k][0] for k in ids} == ids and after["a"][1] == "z" and len({v[0] for v in after.values()}) == 3
     s.put("call_edges", spark.createDataFrame([(after["a"][0], after["b"][0], False, "f.c", 1, 2)], "caller_id long, callee_id long, is_indirect boolean, file_path string, line int, `column` int"))
-    p = passes.Pass("allocation", passes.depth_pass().summarise)
-    out = s.summarize([p], incremental_run=True)
-    assert {json.loads(r.payload)["depth"] for r in out.collect()} == {0, 1}
-    s.upsert("allocation_summaries", out.select("function_id", F.col("payload").alias("summary_json"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit("m").alias("model_used")))
-    assert s.summarize([p], incremental_run=True).count() == 0
+    p = dataclasses.replace(passes.depth_pass(), name="allocation")
+    out = s.summarize([p], incremental_run=True)["allocation"]
+    assert sorted((r.payload.depth, r.changed) for r in out.collect()) == [(0, True), (0, True), (1, True)]
+    assert {json.loads(r.summary_json)["depth"] for r in s["allocation_summaries"].collect()} == {0, 1}
+    assert s.summarize([p], incremental_run=True)["allocation"].count() == 0
     s.invalidate("allocation", spark.createDataFrame([(after["b"][0],)], "id long"))
     assert s["allocation_summaries"].count() == 1 and s.lookup("c").first().summary_json is not None
     s.review(1, 0, "fp", "confirmed", "why")
