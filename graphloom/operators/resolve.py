@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import base_name, normal_callee, split_key, without_abi_tags, without_anonymous, without_return_type, without_templates
+from .intervals import best
 
 
 def by_place(wanted: DataFrame, functions: DataFrame) -> DataFrame:
     """(key, id): of functions with the same name and path ending, the one with most lines in common, else the nearest.
 
-    wanted: (key, name, file, line_start, line_end). Ties go to the smallest id.
+    wanted: (key, name, file, line_start, line_end). Ties go to the smallest id. Path endings are keys: a function has one of
+    each length that is asked for with its name.
     """
     end = F.when(F.coalesce("line_end", F.lit(0)) == 0, F.col("line_start")).otherwise(F.col("line_end"))
     w = wanted.filter("file <> '' and line_start > 0").select("key", "name", paths.suffix(F.col("file"), 2).alias("tail"), F.col("line_start").alias("a"), end.alias("b"))
-    f = functions.select("id", "name", "file_path", F.col("line_start").alias("c"), F.col("line_end").alias("d"))
-    met = w.join(f, "name").filter(F.col("file_path").endswith(F.col("tail")))
-    overlap = F.least("b", "d") - F.greatest("a", "c")
-    cost = F.when((F.col("a") <= F.col("d")) & (F.col("b") >= F.col("c")), -overlap).otherwise(F.least(F.abs(F.col("a") - F.col("d")), F.abs(F.col("b") - F.col("c"))))
-    return met.groupBy("key").agg(F.min_by("id", F.struct(cost.alias("cost"), "id")).alias("id"))
+    lengths = w.select("name", F.length("tail").alias("n")).distinct()
+    f = functions.select("id", "name", "file_path", F.col("line_start").alias("c"), F.col("line_end").alias("d")).join(lengths, "name").filter(F.length("file_path") >= F.col("n"))
+    return best(w, f.select("id", "name", F.expr("right(file_path, n)").alias("tail"), "c", "d"), ["name", "tail"])
 
 
 def _by_name(wanted: DataFrame, functions: DataFrame, name: Column) -> DataFrame:
@@ -67,12 +67,34 @@ def zipped(left: DataFrame, right: DataFrame, key: str, left_order: list[str], r
     return a.join(b, [key, "_i"], "left").drop("_i")
 
 
+ANY = "*"
+
+
+def signature_classes(callsites: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Call sites (callsite_id, class, size) and members (class, function_id), the factors of all their pairs.
+
+    A class is a signature, with `=` before it, or ANY for call sites whose signature no candidate has. Its members are the candidates of
+    that signature, or all of them, which stand under their own signature and are not repeated under ANY.
+    """
+    members = candidates.select(F.concat(F.lit("="), F.col("signature").cast("string")).alias("class"), F.col("id").alias("function_id"))
+    sizes = members.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    every = members.agg(F.count(F.lit(1)).alias("every"))
+    sites = callsites.select(F.col("id").alias("callsite_id"), F.concat(F.lit("="), F.col("signature").cast("string")).alias("class"))
+    met = sites.join(sizes, "class", "left").join(F.broadcast(every), F.lit(True))  # one row
+    return met.select("callsite_id", F.when(F.col("n").isNull(), ANY).otherwise(F.col("class")).alias("class"), F.coalesce("n", "every").alias("size")), members
+
+
+def candidates_of(asked: DataFrame, sites: DataFrame, members: DataFrame) -> DataFrame:
+    """(callsite_id, function_id) of the call sites asked for (callsite_id): as many rows as their classes' sizes."""
+    mine = sites.join(asked.select("callsite_id").distinct(), "callsite_id", "left_semi")
+    some = mine.filter(F.col("class") != ANY).join(members, "class").select("callsite_id", "function_id")
+    return some.union(mine.filter(F.col("class") == ANY).select("callsite_id").join(members.select("function_id"), F.lit(True)))
+
+
 def by_signature(callsites: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(callsite_id, function_id): candidates with the callsite's signature; where none has it, all of them."""
-    c = candidates.select(F.col("id").alias("function_id"), "signature")
-    same = callsites.select(F.col("id").alias("callsite_id"), "signature").join(c, "signature").select("callsite_id", "function_id")
-    others = callsites.select(F.col("id").alias("callsite_id"), "signature").join(c.select("signature").distinct(), "signature", "left_anti")
-    return same.union(others.select("callsite_id").join(c.select("function_id"), F.lit(True)))
+    """(callsite_id, function_id) of all call sites; where these are many, keep to the factors."""
+    sites, members = signature_classes(callsites, candidates)
+    return candidates_of(sites, sites, members)
 
 
 def import_summaries(target: DataFrame, source: DataFrame, present: DataFrame, force: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..storage import written
+from .intervals import overtaken
 
 
 def truncated(messages: DataFrame, budget: int, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -43,11 +45,7 @@ def latest(uses: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def stale_reads(reads: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """reads (key, order, path, start, end) with stale: a later read of the path overlaps the range."""
-    a, b = reads.alias("a"), reads.alias("b")
-    overlap = (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))
-    same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.path") == F.col("b.path")) & (F.col(f"b.{order}") > F.col(f"a.{order}"))
-    old = a.join(b, same & overlap, "left_semi").select(key, order, "path", "start", "end").withColumn("stale", F.lit(True))
-    return reads.join(old.distinct(), [key, order, "path", "start", "end"], "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    return overtaken(reads, [key, "path"], "start", "end", order, "stale")
 
 
 def carried(df: DataFrame, marker: Column, name: str, order: list[str], key: str | None = None) -> DataFrame:
@@ -86,26 +84,64 @@ def warnings_kept(lines: DataFrame, key: str, pattern: str = ERRORS, least_chars
     return rows.filter((F.col("_size") < least_chars) | (F.col("_near") == 1) | (F.col("_any") == 0) & calm).drop("_size", "_n", "_any", "_near")
 
 
-def grouped_spans(spans: DataFrame, least: int = 10, key: str = "function_id") -> DataFrame:
+def grouped_spans(spans: DataFrame, least: int = 10, key: str | list[str] = "function_id") -> DataFrame:
     """(key, start, end): short neighbouring spans joined until their own lines make `least`; long spans stand alone.
 
-    The lines so far decide where a group ends, so it's a fold over a function's spans, in order.
+    The lines so far decide where a group ends. A long span ends every group, so the fold goes over the short spans
+    between two long ones, as one sorted array.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        size = least
-        for start, end in rows.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
-            own = end - start + 1
-            if size < least and own < least:
-                out[-1][1] = max(out[-1][1], end)
-                size += own
-            else:
-                out.append([start, end])
-                size = own
-        return pd.DataFrame({key: rows[key].iloc[0], "start": [a for a, _ in out], "end": [b for _, b in out]})
-
-    return spans.filter("end >= start").select(key, F.col("start").cast("long"), F.col("end").cast("long")).groupBy(key).applyInPandas(fold, f"{key} long, start long, end long")
+    keys = [key] if isinstance(key, str) else key
+    good = spans.filter("end >= start").select(*keys, F.col("start").cast("long"), F.col("end").cast("long")).withColumn("_n", F.col("end") - F.col("start") + 1)
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    good = good.withColumn("_run", F.sum((F.col("_n") >= least).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    long_, short = good.filter(F.col("_n") >= least), good.filter(F.col("_n") < least)
+    runs = short.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct("start", "end", "_n"))).alias("s"))
+    group = "struct<start:bigint,end:bigint>"
+    state = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(None).cast(group).alias("now"), F.lit(least).cast("long").alias("size"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = acc["size"] < least
+        now = F.struct(F.when(joins, acc["now"]["start"]).otherwise(x["start"]).alias("start"), F.when(joins, F.greatest(acc["now"]["end"], x["end"])).otherwise(x["end"]).alias("end"))
+        done = F.when(joins | acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+        return F.struct(done.alias("done"), now.alias("now"), (F.when(joins, acc["size"]).otherwise(0) + x["_n"]).alias("size"))
+
+    folded = runs.select(*keys, F.explode(F.aggregate("s", state, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))).alias("g"))
+    return folded.select(*keys, "g.start", "g.end").union(long_.select(*keys, "start", "end"))
+
+
+def split_blocks(spans: DataFrame, lines: DataFrame, most_chars: int = 40_000, depth: int = 2, least: int = 10) -> DataFrame:
+    """(function_id, start, end, depth): groups of a function's top spans; groups over most_chars replaced by those of their spans' children.
+
+    spans: (function_id, id, parent, start, end), parent null at the top; lines: (function_id, pos, chars). A group is replaced where its spans have
+    at least two children, `depth` times over; groups that leave the function's lines go.
+    """
+    w = Window.partitionBy("function_id").orderBy("pos")
+    upto = written(lines.select("function_id", F.col("pos").cast("long").alias("pos"), F.sum(F.col("chars") + 1).over(w).alias("upto")))
+    left = written(spans.select("function_id", "id", "parent", F.col("start").cast("long"), F.col("end").cast("long")))
+    now, out = left.filter("parent is null").withColumn("_g", F.lit(0).cast("long")), None
+    for level in range(depth + 1):
+        groups = grouped_spans(now, least, ["function_id", "_g"])
+        ends = upto.select("function_id", F.col("pos").alias("end"), F.col("upto").alias("_b"))
+        starts = upto.select("function_id", (F.col("pos") + 1).alias("start"), F.col("upto").alias("_a"))
+        sized = groups.join(ends, ["function_id", "end"]).join(starts, ["function_id", "start"], "left").filter("start >= 1").withColumn("chars", F.col("_b") - F.coalesce("_a", F.lit(0)) - 1)
+        sized = written(sized.select("function_id", "_g", "start", "end", "chars").withColumn("_n", F.monotonically_increasing_id()))
+        big = sized.filter(F.col("chars") > most_chars)
+        if level < depth:
+            # spans of one list don't leave their group: each belongs to the last group that begins at or before it
+            begun = Window.partitionBy("function_id", "_g").orderBy("start", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            marks = sized.select("function_id", "_g", "start", F.lit(None).cast("long").alias("id"), "_n", F.col("end").alias("_e"), F.lit(None).cast("long").alias("end"))
+            both = marks.unionByName(now.select("function_id", "_g", "start", "id", F.lit(None).cast("long").alias("_n"), F.lit(None).cast("long").alias("_e"), "end"))
+            placed = both.withColumns({"_n": F.last("_n", ignorenulls=True).over(begun), "_e": F.last("_e", ignorenulls=True).over(begun)}).filter("id is not null and end <= _e")
+            inside = placed.join(big.select("_n"), "_n", "left_semi").select("function_id", F.col("id").alias("parent"), F.col("_n").alias("_of"))
+            children = left.join(inside, ["function_id", "parent"]).filter("end >= start")
+            several = children.groupBy("_of").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+            now = written(children.join(several.select("_of"), "_of", "left_semi").withColumnRenamed("_of", "_g").select("function_id", "id", "parent", "start", "end", "_g"))
+            kept = sized.join(now.select(F.col("_g").alias("_n")).distinct(), "_n", "left_anti")
+        else:
+            kept = sized
+        found = kept.select("function_id", "start", "end", F.lit(level).alias("depth"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def nested_blocks(texts: DataFrame, opens: str, middles: str, closes: str, key: str = "id") -> DataFrame:

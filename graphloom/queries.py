@@ -878,10 +878,53 @@ def capped_listing(t):
     return listing.capped(t.part.select(F.col("p_partkey").alias("id")), 20, ["id"])
 
 
-@query()
+_FOLD = """{spans}, n AS (SELECT *, e - s + 1 AS own, row_number() OVER (PARTITION BY k ORDER BY s, e) AS i FROM spans),
+    f(k, i, g, size, s, e) AS (SELECT k, i, 0, own, s, e FROM n WHERE i = 1 UNION ALL
+      SELECT n.k, n.i, f.g + CASE WHEN f.size < 10 AND n.own < 10 THEN 0 ELSE 1 END, n.own + CASE WHEN f.size < 10 AND n.own < 10 THEN f.size ELSE 0 END, n.s, n.e FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1)"""
+
+
+@query("WITH RECURSIVE " + _FOLD.format(spans="spans AS (SELECT DISTINCT o_custkey AS k, (o_orderkey % 500)::BIGINT AS s, (o_orderkey % 500 + CASE WHEN o_orderstatus = 'P' THEN 14 ELSE 3 END)::BIGINT AS e FROM orders)") + ' SELECT k AS function_id, min(s) AS start, max(e) AS "end" FROM f GROUP BY k, g')
 def grouped_spans(t):
     k = (F.col("o_orderkey") % 500).cast("long")
-    return transcript.grouped_spans(t.orders.select(F.col("o_custkey").alias("function_id"), k.alias("start"), (k + 3).alias("end")).distinct())
+    end = k + F.when(F.col("o_orderstatus") == "P", 14).otherwise(3)
+    return transcript.grouped_spans(t.orders.select(F.col("o_custkey").alias("function_id"), k.alias("start"), end.alias("end")).distinct())
+
+
+def _tree(t):
+    """Spans of 40, 8 and 2 lines of each text, each the parent of those inside; and the lines' lengths."""
+    lines = t.texts.select("id", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("source", "\\r\\n?", "\n"), "\n$", ""), "\n")).alias("p", "line"))
+    n = lines.groupBy("id").agg(F.max(F.col("p") + 1).alias("n"))
+    spans = None
+    for width, above in ((40, 0), (8, 40), (2, 8)):
+        i = F.col("i") * width
+        mark = lambda w, x: F.lit(w).cast("long") * (1 << 40) + x.cast("long")
+        own = n.select("id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / width))).alias("i"))
+        parent = mark(above, F.floor(i / above)) if above else F.lit(None).cast("long")
+        one = own.select(F.col("id").alias("function_id"), mark(width, F.col("i")).alias("id"), parent.alias("parent"), (i + 1).alias("start"), F.least(i + width, F.col("n")).alias("end"))
+        spans = one if spans is None else spans.union(one)
+    return spans, lines.select(F.col("id").alias("function_id"), (F.col("p") + 1).alias("pos"), F.length("line").alias("chars"))
+
+
+@query(f"""WITH {TEXTS}, {LINES}, top AS (SELECT id, max(pos)::BIGINT AS n FROM lines GROUP BY id), u AS (SELECT id, pos, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY pos) AS upto FROM lines),
+    s AS (SELECT id, w, i * w + 1 AS s, least(i * w + w, n) AS e FROM top, (VALUES (40), (8)) v(w), unnest(range(0, (n - 1) // w + 1)) x(i)),
+    o0 AS (SELECT *, e - s + 1 >= 10 AS far, lag(e - s + 1 < 10) OVER (PARTITION BY id ORDER BY s) AS p FROM s WHERE w = 40),
+    z0 AS (SELECT o0.id, o0.s, o0.e, b.upto - coalesce(a.upto, 0) - 1 AS chars FROM o0 JOIN u b ON b.id = o0.id AND b.pos = o0.e LEFT JOIN u a ON a.id = o0.id AND a.pos = o0.s - 1),
+    c AS (SELECT z0.id, z0.s AS g, s.s, s.e, (s.s - z0.s) // 16 AS pair FROM z0 JOIN s ON s.id = z0.id AND s.w = 8 AND s.s >= z0.s AND s.e <= z0.e WHERE chars > 3000),
+    v AS (SELECT id, g FROM c GROUP BY id, g HAVING count(*) > 1)
+    SELECT id AS function_id, s AS start, e AS "end", 0 AS depth FROM z0 WHERE (id, s) NOT IN (SELECT id, g FROM v)
+    UNION ALL SELECT id, min(s), max(e), 1 FROM c WHERE (id, g) IN (SELECT id, g FROM v) GROUP BY id, g, pair""")
+def split_blocks(t):
+    """Spans of 40 lines are groups of their own (one shorter span may end a text); over 3000 characters their children, of 8 lines, are joined by twos."""
+    spans, lines = _tree(t)
+    return transcript.split_blocks(spans, lines, most_chars=3000, depth=1)
+
+
+@query("""WITH k AS (SELECT s_nationkey AS sig, count(*) AS n FROM supplier GROUP BY 1), c AS (SELECT c_custkey, c_nationkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END AS sig FROM customer)
+    SELECT c_custkey AS callsite_id, CASE WHEN n IS NULL THEN '*' ELSE '=' || sig END AS class, coalesce(n, (SELECT count(*) FROM supplier)) AS size FROM c LEFT JOIN k USING (sig)""")
+def signature_classes(t):
+    signature = F.col("c_nationkey") + F.when(F.col("c_mktsegment") == "BUILDING", 100).otherwise(0)
+    sites = t.customer.select(F.col("c_custkey").alias("id"), signature.alias("signature"))
+    return resolve.signature_classes(sites, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("signature")))[0]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
