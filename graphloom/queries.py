@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import paths, payloads, scores, text
-from .operators import graph, incremental, listing, lookup, merge, resolve, transcript
+from .operators import graph, incremental, listing, lookup, merge, resolve, search, transcript
 from .plans import evaluate, passes, stats
 from .sources import snapshot
 from .views import DAG, EDGES, FUNCTIONS, ISSUES, LAYERS, LINES, NODES, REVIEWS, SUMMARIES, TEXTS, Tables
@@ -216,9 +216,9 @@ def positional_backfill(t):
     return resolve.zipped(t.edges, b, "caller_id", ["callee_id"], ["o_orderdate", "target"]).select("caller_id", "callee_id", "target")
 
 
-@query(f"WITH {FUNCTIONS}, {SUMMARIES}, d AS (SELECT p_name AS name, max(p_retailprice)::VARCHAR AS summary_json FROM part WHERE p_size > 20 GROUP BY p_name) SELECT id AS function_id, summary_json FROM functions JOIN d USING (name) WHERE id NOT IN (SELECT function_id FROM summaries)")
+@query(f"WITH {FUNCTIONS}, {SUMMARIES}, d AS (SELECT p_name AS name, max(p_retailprice)::VARCHAR AS summary_json FROM part GROUP BY p_name) SELECT id AS function_id, summary_json FROM functions JOIN d USING (name) WHERE id NOT IN (SELECT function_id FROM summaries)")
 def import_dep_summaries(t):
-    d = t.part.filter("p_size > 20").groupBy(F.col("p_name").alias("name")).agg(F.max("p_retailprice").cast("string").alias("summary_json"))
+    d = t.part.groupBy(F.col("p_name").alias("name")).agg(F.max("p_retailprice").cast("string").alias("summary_json"))
     return resolve.import_summaries(t.functions.select("id", "name"), d, t.summaries.select("function_id"))
 
 
@@ -241,12 +241,12 @@ def ranked_tiers(t):
     return resolve.ranked(t.customer.select(F.col("c_custkey").alias("k")), [("first", a), ("second", b)], "k").withColumn("value", F.coalesce("value", F.lit("none")))
 
 
-@query("""WITH a AS (SELECT n_name AS challenge, count(DISTINCT (o_orderpriority, o_orderstatus)) AS runs FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 400000 GROUP BY 1),
+@query("""WITH a AS (SELECT n_name AS challenge, count(DISTINCT (o_orderpriority, o_orderstatus)) AS runs FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1),
     b AS (SELECT n_name AS challenge, count(*) AS patches FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 5000 GROUP BY 1)
     SELECT challenge, coalesce(runs, 0) AS runs, coalesce(patches, 0) AS patches FROM a FULL JOIN b USING (challenge)""")
 def truth_merge(t):
     n = t.nation.select("n_nationkey", F.col("n_name").alias("challenge"))
-    a = t.orders.filter("o_totalprice > 400000").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    a = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     a = a.select("challenge", F.col("o_orderpriority").alias("file"), F.lit(1).alias("line"), F.col("o_orderstatus").alias("function"), F.lit("x").alias("issue_kind"))
     b = t.supplier.filter("s_acctbal > 5000").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("challenge")
     return resolve.full_merge(a, b)
@@ -306,14 +306,14 @@ def metrics_overall(t):
 
 
 _MATCH = """a AS (SELECT o_custkey AS function, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS issue_kind, o_orderkey AS k FROM orders),
-    b AS (SELECT l_suppkey AS function, l_linestatus AS issue_kind, l_orderkey * 100000 + l_partkey AS k FROM lineitem WHERE l_quantity > 45),
+    b AS (SELECT l_suppkey AS function, l_linestatus AS issue_kind, l_orderkey * 100000 + l_partkey AS k FROM lineitem),
     x AS (SELECT *, row_number() OVER (PARTITION BY function, issue_kind ORDER BY k) AS i FROM a WHERE issue_kind IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY function, issue_kind ORDER BY k) AS i FROM b),
     m AS (SELECT function, issue_kind, CASE WHEN x.k IS NOT NULL AND y.k IS NOT NULL THEN 'tp' WHEN x.k IS NOT NULL THEN 'fn' ELSE 'fp' END AS outcome FROM x FULL JOIN y USING (function, issue_kind, i) UNION ALL SELECT function, issue_kind, 'fn' FROM a WHERE issue_kind IS NULL)"""
 
 
 def _matches(t):
     a = t.orders.select(F.col("o_custkey").alias("function"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("issue_kind"), F.col("o_orderkey").alias("k"))
-    b = t.lineitem.filter("l_quantity > 45").select(F.col("l_suppkey").alias("function"), F.col("l_linestatus").alias("issue_kind"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("j"))
+    b = t.lineitem.select(F.col("l_suppkey").alias("function"), F.col("l_linestatus").alias("issue_kind"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("j"))
     return evaluate.matched(a, b, ["function", "issue_kind"], "k", "j").select("function", "issue_kind", "outcome")
 
 
@@ -336,9 +336,9 @@ def final_metrics_rollup(t):
     return evaluate.confusion_rollup(_matches(t), "issue_kind")
 
 
-@query(f"WITH {_MATCH} SELECT function, issue_kind, count(*) AS n FROM m WHERE outcome = 'tp' AND (function, issue_kind) NOT IN (SELECT l_suppkey, l_linestatus FROM lineitem WHERE l_quantity = 50) GROUP BY 1, 2")
+@query(f"WITH {_MATCH} SELECT function, issue_kind, count(*) AS n FROM m WHERE outcome = 'tp' AND (function, issue_kind) NOT IN (SELECT l_suppkey, l_linestatus FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 3) GROUP BY 1, 2")
 def confirmed_matches(t):
-    patched = t.lineitem.filter("l_quantity = 50").select(F.col("l_suppkey").alias("function"), F.col("l_linestatus").alias("issue_kind"))
+    patched = t.lineitem.filter("l_quantity = 50 and l_linenumber = 3").select(F.col("l_suppkey").alias("function"), F.col("l_linestatus").alias("issue_kind"))
     return evaluate.confirmed(_matches(t), patched, ["function", "issue_kind"]).groupBy("function", "issue_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -624,10 +624,10 @@ def _old(t):
 
 
 def _new(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("n"), F.max("o_orderstatus")).alias("name"), F.max(F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice"))).alias("v"), F.lit(2).alias("made")).filter("id % 3 <> 0").select((F.col("id") + 700).alias("id"), "name", "v", "made")
+    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("n"), F.max("o_orderstatus")).alias("name"), F.max(F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice"))).alias("v"), F.lit(2).alias("made")).select((F.col("id") + 700).alias("id"), "name", "v", "made")
 
 
-_CHANGES = "o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v, 1 AS made FROM customer), n AS (SELECT o_custkey + 700 AS id, 'n' || max(o_orderstatus) AS name, max(CASE WHEN o_totalprice > 300000 THEN o_totalprice END) AS v, 2 AS made FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)"
+_CHANGES = "o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v, 1 AS made FROM customer), n AS (SELECT o_custkey + 700 AS id, 'n' || max(o_orderstatus) AS name, max(CASE WHEN o_totalprice > 300000 THEN o_totalprice END) AS v, 2 AS made FROM orders GROUP BY o_custkey)"
 
 
 @query(f"WITH {_CHANGES} SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.v, o.v) AS v, coalesce(o.made, n.made) AS made FROM o FULL JOIN n ON n.id = o.id")
@@ -927,6 +927,84 @@ def signature_classes(t):
     return resolve.signature_classes(sites, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("signature")))[0]
 
 
+_FILES = "files AS (SELECT CASE lang WHEN 'de' THEN 'fuzz/' || doc_id || '.cc' WHEN 'fr' THEN 'src/mytests/' || doc_id || '.c' WHEN 'en' THEN 'lib/' || doc_id || '.c' ELSE 'test/' || doc_id || '.c' END AS path, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"""WITH {_FILES}, names AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z0-9_]+') AS name FROM benchmark UNION SELECT 'the' UNION SELECT 'nt'), l AS (SELECT path, text, unnest(string_split(text, chr(10))) AS said, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM files),
+    m AS (SELECT name, path, line, row_number() OVER (PARTITION BY name ORDER BY path, line) AS r FROM l JOIN names ON contains(said, name) WHERE ends_with(path, '.c') AND name <> '')
+    SELECT NULL AS name, path, 'oss-fuzz' AS kind, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS snippet FROM files WHERE starts_with(path, 'fuzz/')
+    UNION ALL SELECT DISTINCT name, path, 'test', array_to_string(string_split(text, chr(10))[1:5], chr(10)) FROM m JOIN files USING (path) WHERE r <= 10 AND contains(path, 'test')""")
+def harness_search(t):
+    d = F.col("doc_id").cast("string")
+    path = F.when(F.col("lang") == "de", F.concat(F.lit("fuzz/"), d, F.lit(".cc"))).when(F.col("lang") == "fr", F.concat(F.lit("src/mytests/"), d, F.lit(".c"))).when(F.col("lang") == "en", F.concat(F.lit("lib/"), d, F.lit(".c"))).otherwise(F.concat(F.lit("test/"), d, F.lit(".c")))
+    names = t.benchmark.select(F.regexp_extract("text", "[A-Za-z0-9_]+", 0).alias("name")).union(t.spark.sql("SELECT explode(array('the', 'nt')) AS name"))
+    return search.harnesses(t.documents.select(path.alias("path"), "text"), names, head=5)
+
+
+@query("""WITH w AS (SELECT '_Z' || c_custkey AS key, replace(c_name, '#', '_') AS n, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'demangled' WHEN 'BUILDING' THEN 'template' WHEN 'FURNITURE' THEN 'base' WHEN 'MACHINERY' THEN 'name' ELSE 'stub' END AS strategy, c_custkey FROM customer)
+    SELECT CASE WHEN strategy = 'name' THEN n ELSE key END AS key, CASE WHEN strategy <> 'stub' THEN c_custkey END AS id, strategy FROM w""")
+def resolution_demangled(t):
+    """Mangled keys, found by what their readable form holds."""
+    n, kind = F.translate("c_name", "#", "_"), F.col("c_mktsegment")
+    f = t.customer.select(F.col("c_custkey").alias("id"), n.alias("name"), F.lit("a/b.c").alias("file_path"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    text = F.when(kind == "AUTOMOBILE", F.concat(n, F.lit("(char*)"))).when(kind == "BUILDING", F.concat(n, F.lit("<int, std::less<int> >(char*)"))).when(kind == "FURNITURE", F.concat(F.lit("ns::inner::"), n, F.lit("(int)"))).otherwise(F.concat(F.lit("ns::other"), n, F.lit("()")))
+    key = F.when(kind == "MACHINERY", n).otherwise(F.concat(F.lit("_Z"), "c_custkey"))
+    w = t.customer.select(key.alias("key"), F.lit(None).cast("string").alias("file"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), text.alias("demangled"))
+    return resolve.cascade(w, f)
+
+
+def _payload_json(fields, as_sql):
+    """A response about an event: cut short where value > 90, without its arrays where value < 5."""
+    arrays = ",".join(f'"{name}":[{{"{field}":"@T","{other}":"@T"}},{{}}]' for name, field, other in fields)
+    whole, bare = '{"function":"f@I","description":"@T",' + arrays + "}", '{"function":"f@I"}'
+    if as_sql:
+        put = lambda s: "'" + s.replace("@I", "' || event_id || '").replace("@T", "' || event_type || '") + "'"
+        return f"CASE WHEN value > 90 THEN '{{\"function\":' WHEN value < 5 THEN {put(bare)} ELSE {put(whole)} END"
+    put = lambda s: F.replace(F.replace(F.lit(s), F.lit("@I"), F.col("event_id").cast("string")), F.lit("@T"), F.col("event_type"))
+    return F.when(F.col("value") > 90, F.lit('{"function":')).when(F.col("value") < 5, put(bare)).otherwise(put(whole))
+
+
+def _payload_query(kind, fields):
+    """Decoded responses of a pass: texts, sizes of arrays and the first fields, with the defaults of what is absent."""
+    first = fields[0]
+    size = lambda name: f"CASE WHEN value > 90 OR value < 5 THEN {'NULL' if name in payloads.NULLABLE else 0} ELSE 2 END::INT AS n_{name}"
+    sql = f"""SELECT event_id, CASE WHEN value > 90 THEN '' ELSE json_extract_string(j, '$.function') END AS function, CASE WHEN value > 90 THEN '' ELSE coalesce(json_extract_string(j, '$.description'), '') END AS description,
+        {", ".join(size(name) for name, _, _ in fields)}, CASE WHEN value <= 90 THEN json_extract_string(j, '$.{first[0]}[0].{first[1]}') END AS first FROM (SELECT *, {_payload_json(fields, True)} AS j FROM events)"""
+
+    def run(t):
+        p = payloads.decoded(_payload_json(fields, False), kind)
+        sizes = [F.when(p[name].isNotNull(), F.size(p[name])).alias(f"n_{name}") for name, _, _ in fields]
+        return t.events.select("event_id", p["function"].alias("function"), p["description"].alias("description"), *sizes, F.get(p[first[0]], 0)[first[1]].alias("first"))
+
+    run.__name__ = f"payload_{kind}"
+    query(sql.replace("json_extract_string(j,", "json_extract_string(CASE WHEN value <= 90 THEN j END,"))(run)
+
+
+for _kind, _fields in {
+    "allocation": [("allocations", "type", "size_expr"), ("buffer_size_pairs", "buffer", "kind")],
+    "free": [("frees", "target", "deallocator"), ("resource_releases", "target", "condition")],
+    "init": [("inits", "target", "byte_count"), ("output_ranges", "target", "range")],
+    "memsafe": [("contracts", "contract_kind", "target")],
+    "verify": [("issues", "issue_kind", "severity"), ("simplified_contracts", "target", "description")],
+    "leak": [("issues", "severity", "location"), ("simplified_allocations", "type", "source"), ("simplified_frees", "target", "description")],
+    "overflow": [("issues", "location", "callee"), ("output_ranges", "target", "range"), ("constraints", "target", "description")],
+}.items():
+    _payload_query(_kind, _fields)
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('high', 'low') THEN event_type WHEN event_type = 'error' THEN 'high' WHEN event_type = 'view' THEN 'low' ELSE 'medium' END AS severity,
+    CASE WHEN event_type = 'click' THEN 'buffer_size' ELSE 'not_null' END AS kind, CASE WHEN event_type = 'click' THEN 'n*' || event_id END AS size_expr, coalesce((props->>'$.k')::INT > 50, true) AS changed FROM events""")
+def payload_checks(t):
+    """Values outside an enumeration fall back; sizes stay with buffers only; a member of a component says whether it changed."""
+    kind = F.col("event_type")
+    said = F.when(kind == "error", " HIGH ").when(kind == "view", "Low").otherwise(kind)
+    issue = F.from_json(F.concat(F.lit('{"issues":[{"severity":"'), said, F.lit('"}]}')), "issues array<struct<severity:string>>")["issues"]
+    contract = F.from_json(F.concat(F.lit('{"c":[{"target":"t","contract_kind":"'), F.when(kind == "click", "Buffer_Size").otherwise("odd"), F.lit('","size_expr":"n*'), F.col("event_id").cast("string"), F.lit('"}]}')), "c array<struct<target:string,contract_kind:string,description:string,size_expr:string,relationship:string,condition:string>>")["c"]
+    checked = payloads.checked_contracts(contract)[0]
+    over = F.concat(F.lit('{"changed": '), (F.get_json_object("props", "$.k").cast("int") > 50).cast("string"), F.lit("}"))
+    return t.events.select("event_id", payloads.checked_issues(issue)[0]["severity"].alias("severity"), checked["contract_kind"].alias("kind"), checked["size_expr"].alias("size_expr"), payloads.changed_flag(over).alias("changed"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what an incremental run must summarise again, with names, in order of levels."""
     t = Tables(spark, sf_dir)
