@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from . import schema as S
 from .functions import paths, payloads, scores, text
 from .operators import graph, incremental, listing, lookup, merge, resolve, search, transcript
 from .plans import evaluate, passes, stats
-from .sources import snapshot
+from .sources import snapshot, table
+from .storage import shared_dir
 from .views import DAG, EDGES, FUNCTIONS, ISSUES, LAYERS, LINES, NODES, REVIEWS, SUMMARIES, TEXTS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,6 +637,16 @@ def upsert_merge(t):
     return merge.upsert(_old(t), _new(t), ["id"], keep=("made",), fill=("v",))
 
 
+@query(f"WITH {_CHANGES} SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.v, o.v) AS v, coalesce(o.made, n.made) AS made FROM o FULL JOIN n ON n.id = o.id WHERE coalesce(n.id, o.id) NOT IN (SELECT s_suppkey FROM supplier)")
+def table_commits(t):
+    """Written, merged and cut by three commits of the table format, and read back."""
+    db = table.Table(t.spark, f"{shared_dir(t.spark)}/graphloom/{uuid.uuid4().hex}", "id bigint, name string, v double, made int")
+    db.append(_old(t))
+    db.upsert(_new(t), ["id"], keep=("made",), fill=("v",))
+    db.delete(t.supplier.select(F.col("s_suppkey").alias("id")), "id")
+    return db.read()
+
+
 @query(f"WITH {_CHANGES} SELECT id, name, v, made FROM o UNION ALL SELECT id, name, v, made FROM n WHERE id NOT IN (SELECT id FROM o)")
 def insert_ignore(t):
     return merge.insert_ignore(_old(t), _new(t), ["id"])
