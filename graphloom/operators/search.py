@@ -40,11 +40,15 @@ def references(files: DataFrame, names: DataFrame, most: int | None = None) -> D
     lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
     words = lines.select("path", (F.col("line") + 1).alias("line"), F.explode(F.array_distinct(F.split("said", IDENTIFIER))).alias("word")).filter("word <> ''")
     known = written(holding(words.select("word").distinct(), wanted))
-    met = words.join(known, "word").select("name", "path", "line").distinct()
     if most is None:
-        return met
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("path", "line"))
-    return met.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+        return words.join(known, "word").select("name", "path", "line").distinct()
+
+    def first(df: DataFrame, key: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("path", "line"))
+        return df.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+
+    # a name's first lines are among the first lines of each word that holds it, which tasks find before the shuffle
+    return first(first(words, "word").join(known, "word").select("name", "path", "line").distinct(), "name")
 
 
 def harnesses(files: DataFrame, names: DataFrame, most: int = 10, head: int = 100) -> DataFrame:
