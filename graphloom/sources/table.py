@@ -4,7 +4,8 @@ A table is a folder of Parquet files and of manifests, one for each version, tha
 put one file each under a name of their own; only the commit on the driver, after all tasks are done, writes the next manifest. A
 write that fails, or a task that runs twice, leaves files that no manifest names, and the version before. Readers see one
 version: the latest when they plan, or option `version`. Two writers that commit at once: the second fails, as a manifest is never
-overwritten. Reading splits files by row groups, reads the columns asked for, and skips row groups by statistics of pushed filters.
+overwritten. Reading splits files by row groups, and skips those whose statistics lie outside option `between`. Readers take no filters
+from Spark: it keeps one reader for all queries over a DataFrame, so one query's filter would take rows from another.
 
 Files are opened by pyarrow's file systems, so a path can be local, or a URI that these know (file, hdfs, s3, gs).
 """
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 ROW_GROUP = 1 << 17
@@ -28,6 +29,8 @@ ROW_GROUP = 1 << 17
 def _at(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:/"):  # as Spark names local files: not encoded
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -63,15 +66,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, version: int | None) -> None:
-        self.path, self.schema, self.version, self.tests = path, schema, version, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons with a value choose row groups; Spark tests the rows all the same."""
-        for f in filters:
-            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and len(f.attribute) == 1:
-                self.tests.append((type(f).__name__, f.attribute[0], f.value))
-            yield f
+    def __init__(self, path: str, schema: StructType, version: int | None, between: dict | None = None) -> None:
+        self.path, self.schema, self.version, self.between = path, schema, version, between or {}
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.parquet as pq
@@ -85,12 +81,11 @@ class _Reader(DataSourceReader):
 
     def _may_hold(self, group) -> bool:
         found = {group.column(i).path_in_schema: group.column(i).statistics for i in range(group.num_columns)}
-        for kind, name, value in self.tests:
+        for name, (low, high) in self.between.items():
             s = found.get(name)
-            if s is None or not s.has_min_max or type(s.min) is not type(value):
+            if s is None or not s.has_min_max:
                 continue
-            out = {"EqualTo": value < s.min or value > s.max, "GreaterThan": s.max <= value, "GreaterThanOrEqual": s.max < value, "LessThan": s.min >= value, "LessThanOrEqual": s.min > value}
-            if out[kind]:
+            if low is not None and type(s.max) is type(low) and s.max < low or high is not None and type(s.min) is type(high) and s.min > high:
                 return False
         return True
 
@@ -150,7 +145,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class FactTable(DataSource):
-    """Options: path; version to read."""
+    """Options: path; version to read; between, JSON of {column: [low or null, high or null]}, skips row groups that hold no such row."""
 
     @classmethod
     def name(cls) -> str:
@@ -168,15 +163,14 @@ class FactTable(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         version = self._version()
-        return _Reader(self.options["path"], schema, _manifest(self.options["path"])["version"] if version is None else version)
+        return _Reader(self.options["path"], schema, _manifest(self.options["path"])["version"] if version is None else version, json.loads(self.options.get("between", "{}")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it push filters to readers in Python."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(FactTable)
 
 
@@ -190,9 +184,14 @@ class Table:
     def version(self) -> int:
         return _manifest(self.path)["version"]
 
-    def read(self, version: int | None = None) -> DataFrame:
-        r = self.spark.read.format("fact_table").schema(self.ddl)
-        return (r if version is None else r.option("version", version)).load(self.path)
+    def read(self, version: int | None = None, between: dict[str, tuple] | None = None) -> DataFrame:
+        """The rows of a version, by default the latest; between: only those whose columns lie in ranges (low, high), None for open."""
+        r = self.spark.read.format("fact_table").schema(self.ddl).option("between", json.dumps(between or {}))
+        rows = (r if version is None else r.option("version", version)).load(self.path)
+        for name, (low, high) in (between or {}).items():
+            for bound, test in ((low, F.col(name) >= F.lit(low)), (high, F.col(name) <= F.lit(high))):
+                rows = rows if bound is None else rows.filter(test)
+        return rows
 
     def append(self, rows: DataFrame) -> None:
         self._shaped(rows).write.format("fact_table").mode("append").save(self.path)

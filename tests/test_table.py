@@ -1,4 +1,4 @@
-"""Commits of the table format: versions, failures, changes by key, pushed filters; and names in texts."""
+"""Commits of the table format: versions, failures, changes by key, ranges; and names in texts."""
 
 import os
 import random
@@ -56,13 +56,19 @@ def test_filters_choose_row_groups(spark, tmp_path, monkeypatch):
     t = table.Table(spark, path, DDL)
     for i in range(3):
         t.append(spark.range(i * 100, i * 100 + 100, numPartitions=1).selectExpr("id", "'a' name", "1D v", "null tags"))
-    reader = table._Reader(path, t.read().schema, None)
-    assert len(reader.partitions()) == 3
-    from pyspark.sql.datasource import EqualTo, GreaterThan
+    parts = lambda between: len(table._Reader(path, t.read().schema, None, between).partitions())
+    assert [parts(b) for b in ({}, {"id": (150, None)}, {"id": (None, 99)}, {"id": (150, 150)}, {"id": (150, 150), "name": ("b", None)}, {"id": ("x", None)})] == [3, 2, 1, 1, 0, 3]
+    assert [r.id for r in t.read(between={"id": (150, 151)}).orderBy("id").collect()] == [150, 151]
+    assert t.read(between={"name": (None, "Z")}).count() == 0
 
-    assert len(list(reader.pushFilters([EqualTo(("id",), 150), GreaterThan(("name",), "a")]))) == 2
-    assert reader.partitions() == []  # no name above a
-    assert t.read().filter("id = 150").count() == 1
+
+def test_queries_over_one_frame_keep_their_rows(spark, tmp_path):
+    """A filter of one query, or of one side of a union, takes nothing from another."""
+    t = table.Table(spark, str(tmp_path / "t"), DDL)
+    for i in range(2):
+        t.append(spark.range(i * 100, i * 100 + 100, numPartitions=1).selectExpr("id", "'a' name", "1D v", "null tags"))
+    df = t.read()
+    assert [df.count(), df.filter("id < 100").count(), df.count(), df.filter("id < 100").union(df.filter("id >= 100")).count()] == [200, 100, 200, 200]
 
 
 def test_references(spark):
