@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from .json_split import CHUNK, entries, numbered
 
 CONTAINERS = "function string, file string, signature string, container_type string, container_arg long, store_args array<long>, load_return boolean, confidence string, heuristic_score long, model_used string"
 _CALLEES = "array<struct<callee:string,call_type:string,line:int>>"
-CALL_GRAPH = f"functions map<string,struct<file:string,line_start:int,line_end:int,linkage:string,callees:{_CALLEES}>>"
+_FUNCTION = f"map<string,struct<file:string,line_start:int,line_end:int,linkage:string,callees:{_CALLEES}>>"
+_COMMAND = "directory string, file string, command string, arguments array<string>, output string"
 _UNIT = "name string, type string, output string, link_deps array<string>, bc_files array<string>, objects array<string>, alias_of string, db_path string"
-_UNITS = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in _UNIT.split(", ")) + ">>"
 TRUTH = "challenges map<string,struct<cwes:array<int>,vulnerabilities:array<struct<patch_id:string,file:string,line:int,function:string,issue_kind:string>>,patch_sites:array<struct<patch_id:string,file:string,line:int,function:string,issue_kind:string>>>>"
 #: Flags of a compile command that matter for parsing, with whether a value follows.
 PARSE_FLAGS = {"-I": True, "-D": True, "-U": True, "-include": True, "-isystem": True, "-std": False, "-f": False, "-m": False}
@@ -25,14 +26,14 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def compile_commands(spark: SparkSession, path: str) -> DataFrame:
+def compile_commands(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(file, directory, output, flags): the last entry of each file, paths made absolute.
 
-    flags: those of PARSE_FLAGS, in order; commands are split as a shell does.
+    flags: those of PARSE_FLAGS, in order; commands are split as a shell does. Large arrays are read by many tasks.
     """
-    raw = json_table(spark, path, "directory string, file string, command string, arguments array<string>, output string")
-    raw = raw.withColumn("pos", F.monotonically_increasing_id())
-    schema = "file string, directory string, output string, flags array<string>, pos long"
+    raw = entries(spark, path, 1, chunk=chunk).select("path", "start", "seq", F.from_json("text", _COMMAND).alias("e"))
+    raw = raw.select(F.struct("path", "start", "seq").alias("pos"), "e.*")
+    schema = "file string, directory string, output string, flags array<string>, pos struct<path:string,start:long,seq:long>"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import posixpath
@@ -60,18 +61,23 @@ def compile_commands(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "pos")
 
 
-def call_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(functions: key, file, line_start, line_end, linkage) and (edges: caller, callee, indirect, line)."""
-    rows = json_table(spark, path, CALL_GRAPH).select(F.explode("functions").alias("key", "f"))
+def call_graph(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(functions: key, file, line_start, line_end, linkage) and (edges: caller, callee, indirect, line).
+
+    One large document is read by many tasks; each function is one row of text. A key that occurs twice gives two rows.
+    """
+    text = entries(spark, path, 2, ("functions",), chunk).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("text"))
+    rows = text.select(F.explode(F.from_json("text", _FUNCTION)).alias("key", "f"))
     functions = rows.select("key", "f.file", "f.line_start", "f.line_end", "f.linkage")
     calls = rows.select(F.col("key").alias("caller"), F.explode("f.callees").alias("c"))
     return functions, calls.select("caller", "c.callee", (F.col("c.call_type") == "indirect").alias("indirect"), "c.line")
 
 
-def link_units(spark: SparkSession, path: str) -> DataFrame:
-    """One row per unit, with pos; the key is link_units, else targets."""
-    doc = json_table(spark, path, f"link_units {_UNITS}, targets {_UNITS}")
-    return doc.select(F.posexplode(F.coalesce("link_units", "targets")).alias("pos", "u")).select("pos", "u.*")
+def link_units(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """One row per unit, with pos inside its file; of each file the units under link_units, and where it has none, targets."""
+    rows = numbered(entries(spark, path, 2, ("link_units", "targets"), chunk))
+    first = rows.groupBy("path").agg(F.min("member").alias("member"))  # by name, link_units comes first
+    return rows.join(first, ["path", "member"]).select("pos", F.from_json("text", _UNIT).alias("u")).select("pos", "u.*")
 
 
 def containers(spark: SparkSession, path: str) -> DataFrame:

@@ -11,15 +11,20 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .table import _at
 
 # Fixed values of the file format.
 MAGIC = b"KAVSNAP1"
 VERSION = 1
-_ROWS = "path string, what string, a long, b long, kind int, name string"
 
 
 class _Cursor:
@@ -101,26 +106,94 @@ def write(nodes: list[int], rows: list[list[int]], names: list[tuple[int, int, s
     return out
 
 
+#: The relations of a snapshot, as parse names them, and their columns.
+RELATIONS = {
+    "class": "path string, node long, class long",
+    "row": "path string, class long, other long",
+    "name": "path string, node long, kind int, name string",
+}
+_BATCH = 1 << 16
+
+
+@dataclass
+class _File(InputPartition):
+    path: str
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, relation: str, magic: bytes, version: int, schema: StructType) -> None:
+        self.path, self.relation, self.magic, self.version, self.schema = path, relation, magic, version, schema
+
+    def partitions(self) -> list[InputPartition]:
+        """One partition for each file: the path itself, or all .vsnap files of a folder and its folders."""
+        from pyarrow import fs
+
+        system, root = _at(self.path)
+        info = system.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            raise ValueError(f"{self.path} is not there")
+        found = [info] if info.is_file else [i for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.base_name.endswith(".vsnap")]
+        paths = sorted(self.path.removesuffix(root) + i.path for i in found)
+        return [_File(p) for p in paths] or [_File("")]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        system, name = _at(partition.path)
+        with system.open_input_file(name) as f:
+            data = f.read()
+        columns = self.schema.names[1:]
+        types = to_arrow_schema(self.schema)
+        place = {"class": (1, 2), "row": (1, 2), "name": (1, 3, 4)}[self.relation]
+        buffer: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            values = [pa.array([partition.path] * len(buffer), types.field(0).type)]
+            values += [pa.array([row[i] for row in buffer], types.field(c).type) for i, c in zip(place, columns, strict=True)]
+            return pa.RecordBatch.from_arrays(values, schema=types)
+
+        for row in parse(data, self.magic, self.version):
+            if row[0] == self.relation:
+                buffer.append(row)
+                if len(buffer) == _BATCH:
+                    yield batch()
+                    buffer = []
+        if buffer:
+            yield batch()
+
+
+class AliasSnapshot(DataSource):
+    """spark.read.format("alias_snapshot"). Options: path (a file or a folder), relation (class, row, name), magic, version."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "alias_snapshot"
+
+    def _relation(self) -> str:
+        relation = self.options.get("relation", "class")
+        if relation not in RELATIONS:
+            raise ValueError(f"relation is one of {', '.join(RELATIONS)}")
+        return relation
+
+    def schema(self) -> str:
+        return RELATIONS[self._relation()]
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options["path"], self._relation(), self.options.get("magic", MAGIC.decode()).encode(), int(self.options.get("version", VERSION)), schema)
+
+
 def read(spark: SparkSession, path: str, magic: bytes = MAGIC, version: int = VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node_class: node, class), (class_rows: class, other), (named: node, kind, name) of all files."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                buffer = []
-                for row in parse(bytes(r.content), magic, version):
-                    buffer.append((r.path, *row))
-                    if len(buffer) == 1 << 16:
-                        yield pd.DataFrame(buffer, columns=["path", "what", "a", "b", "kind", "name"]).astype({"kind": "Int32"})
-                        buffer = []
-                yield pd.DataFrame(buffer, columns=["path", "what", "a", "b", "kind", "name"]).astype({"kind": "Int32"})
-
-    every = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, _ROWS)
-    return (
-        every.filter("what = 'class'").select("path", F.col("a").alias("node"), F.col("b").alias("class")),
-        every.filter("what = 'row'").select("path", F.col("a").alias("class"), F.col("b").alias("other")),
-        every.filter("what = 'name'").select("path", F.col("a").alias("node"), "kind", "name"),
-    )
+    """(node_class: node, class), (class_rows: class, other), (named: node, kind, name) of all files, each with path.
+
+    Each relation is a scan of its own, so a query that needs one builds rows of one alone. Every scan checks the whole file. Nodes and classes are
+    numbered inside their file: join on path too where there are several.
+    """
+    spark.dataSource.register(AliasSnapshot)
+    r = lambda relation: spark.read.format("alias_snapshot").option("relation", relation).option("magic", magic.decode()).option("version", version).load(path)
+    return r("class"), r("row"), r("name")
 
 
 def may_alias(pairs: DataFrame, node_class: DataFrame, class_rows: DataFrame) -> DataFrame:
