@@ -12,7 +12,7 @@ from . import schema as S
 from .functions import paths, payloads, scores, text
 from .operators import graph, incremental, listing, lookup, merge, resolve, search, transcript
 from .plans import evaluate, passes, stats
-from .sources import snapshot, table
+from .sources import files, json_split, snapshot, table
 from .storage import shared_dir
 from .views import DAG, EDGES, FUNCTIONS, ISSUES, LAYERS, LINES, NODES, REVIEWS, SUMMARIES, TEXTS, Tables
 
@@ -618,6 +618,47 @@ def summary_cache_built(t):
     return incremental.cache_of(t.functions, {"a": s}).select("name", "source_hash", F.col("payloads")["a"].alias("j"))
 
 
+# --- sources
+
+
+def _documents(t, rows, **how):
+    """rows' column text as JSON documents in the shared folder; chunks of 64 KB, so that small tables cut them too."""
+    path = f"{shared_dir(t.spark)}/graphloom/{uuid.uuid4().hex}"
+    json_split.write_documents(rows, path, **how)
+    return t.spark, path, 1 << 16
+
+
+@query(f"WITH {EDGES} SELECT 'a,\"b\".c:f' || caller_id AS caller, '{{g' || callee_id AS callee, callee_id % 2 = 1 AS indirect, (callee_id % 100)::INT AS line FROM call_edges")
+def source_call_graph(t):
+    """The call graph, written as JSON documents and read back from inside them; an entry holds the different callees of one function."""
+    callee = F.struct(F.concat(F.lit("{g"), "callee_id").alias("callee"), F.when(F.col("callee_id") % 2 == 1, "indirect").otherwise("direct").alias("call_type"), (F.col("callee_id") % 100).cast("int").alias("line"))
+    rows = t.edges.groupBy("caller_id").agg(F.collect_list(callee).alias("callees"))
+    entry = F.to_json(F.create_map(F.concat(F.lit('a,"b".c:f'), "caller_id"), F.struct(F.lit("a,b.c").alias("file"), F.lit(1).alias("line_start"), "callees")))
+    text = rows.select(F.substring(entry, F.lit(2), F.length(entry) - 2).alias("text"))
+    return files.call_graph(*_documents(t, text, member="functions", array=False, each=2000))[1]
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders)
+    SELECT '/b/s/c' || o_custkey || '.c' AS file, '/b/' || o_orderstatus AS directory, '/b/' || o_orderstatus || '/' || o_orderkey || '.o' AS output, '-Ia, b|-DID="' || o_orderkey || '"|-include|x.h' AS flags FROM r WHERE r = 1""")
+def source_compile_commands(t):
+    """Each order compiles its customer's file: the last command of a file stays."""
+    k = F.col("o_orderkey").cast("string")
+    command = F.concat(F.lit("cc '-Ia, b' -DID=\\\""), k, F.lit('\\" -include x.h -O2 -c s.c'))
+    entry = F.struct(F.concat(F.lit("/b/"), "o_orderstatus").alias("directory"), F.concat(F.lit("../s/./c"), "o_custkey", F.lit(".c")).alias("file"), command.alias("command"), F.concat(k, F.lit(".o")).alias("output"))
+    rows = t.orders.select("o_custkey", "o_orderkey", F.to_json(entry).alias("text"))
+    found = files.compile_commands(*_documents(t, rows, key="o_custkey", order=("o_orderkey",), each=10_000))
+    return found.select("file", "directory", "output", F.array_join("flags", "|").alias("flags"))
+
+
+@query("SELECT 'u[' || p_partkey AS name, p_type AS type, p_brand || '/lib' || p_partkey || '.a' AS output, CASE WHEN p_size > 25 THEN 1 END AS n_objects, CASE WHEN p_size > 25 THEN p_name END AS object FROM part")
+def source_link_units(t):
+    """Parts as link units; a unit without objects has no such member."""
+    objects = F.when(F.col("p_size") > 25, F.array("p_name"))
+    unit = F.struct(F.concat(F.lit("u["), "p_partkey").alias("name"), F.col("p_type").alias("type"), F.concat("p_brand", F.lit("/lib"), "p_partkey", F.lit(".a")).alias("output"), objects.alias("objects"))
+    found = files.link_units(*_documents(t, t.part.select("p_partkey", F.to_json(unit).alias("text")), member="targets", order=("p_partkey",), each=1000))
+    return found.select("name", "type", "output", F.when(F.col("objects").isNotNull(), F.size("objects")).alias("n_objects"), F.get("objects", 0).alias("object"))
+
+
 # --- data changes
 
 

@@ -179,3 +179,23 @@ def numbered(rows: DataFrame) -> DataFrame:
     met = rows.withColumn("_r", F.row_number().over(w) - 1).withColumn("_k", F.col("member"))
     met = met.join(offsets.withColumnRenamed("path", "_p").withColumnRenamed("start", "_s"), (F.col("path") == F.col("_p")) & (F.col("start") == F.col("_s")) & F.col("_k").eqNullSafe(F.col("_member")))
     return met.select("path", "member", "start", "seq", "text", (F.col("_o") + F.col("_r")).cast("int").alias("pos"))
+
+
+def write_documents(rows: DataFrame, path: str, member: str | None = None, array: bool = True, key: str = "text", order: tuple[str, ...] = ("text",), each: int = 1_000_000) -> None:
+    """Entries (column text, without line breaks) as JSON documents of about `each` entries; entries of one key share a document.
+
+    Inside a document entries stand in order. member: the document is an object, and its member holds them; array: in an array, else an object. A
+    document is a file below path, written line by line from a sorted stream, so no task holds one. No rows: no documents.
+    """
+    n = -(-rows.count() // each) or 1
+    w = Window.partitionBy("document").orderBy(*order)
+    head, tail = ("[", "]") if array else ("{", "}")
+    if member is not None:
+        head, tail = F.to_json(F.array(F.lit(member))), tail + "}"
+        head = F.concat(F.lit("{"), F.substring(head, F.lit(2), F.length(head) - 2), F.lit(":[" if array else ":{"))
+    else:
+        head = F.lit(head)
+    numbered = rows.withColumn("document", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    numbered = numbered.select("document", "text", *(c for c in order if c != "text"), F.row_number().over(w).alias("_r"), F.lead(F.lit(1)).over(w).alias("_next"))
+    line = F.concat(F.when(F.col("_r") == 1, head).otherwise(F.lit("")), "text", F.when(F.col("_next").isNull(), F.lit(tail)).otherwise(F.lit(",")))
+    numbered.select("document", line.alias("value")).write.partitionBy("document").option("maxRecordsPerFile", 0).text(path)
