@@ -659,6 +659,15 @@ def source_link_units(t):
     return found.select("name", "type", "output", F.when(F.col("objects").isNotNull(), F.size("objects")).alias("n_objects"), F.get("objects", 0).alias("object"))
 
 
+@query("SELECT doc_id, lang, length(text) AS chars, md5(text) AS digest FROM documents")
+def source_json_array(t):
+    """Whole documents, written as JSON arrays and read back from inside them."""
+    text = t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "text")).alias("text"))
+    spark, path, _ = _documents(t, text, order=("doc_id",), each=20_000)
+    rows = json_split.entries(spark, path, 1).select(F.from_json("text", "doc_id long, lang string, text string").alias("e")).select("e.*")
+    return rows.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 # --- data changes
 
 

@@ -62,6 +62,23 @@ def test_readers(spark, tmp_path, chunk):
     assert files.call_graph(spark, str(tmp_path / "none.json"), chunk)[1].collect() == []
 
 
+def test_documents_written(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 7, i, json.dumps({"i": i, "t": "a,\n]"})) for i in range(60)], "k int, i int, text string")
+    json_split.write_documents(rows, str(tmp_path / "a"), 'm"', key="k", order=("i",), each=20)
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("document=*/part-*.txt")]
+    lists = [d['m"'] for d in docs]
+    assert sorted(x["i"] for v in lists for x in v) == list(range(60)) and all(v == sorted(v, key=lambda x: x["i"]) for v in lists)
+    keys = [{x["i"] % 7 for x in v} for v in lists]
+    assert len(docs) > 1 and sum(map(len, keys)) == 7  # a key has one document
+    got = json_split.numbered(json_split.entries(spark, str(tmp_path / "a"), 2, ('m"',), chunk=50))
+    assert sorted((r.pos, json.loads(r.text)["i"]) for r in got.collect()) == sorted((n, x["i"]) for v in lists for n, x in enumerate(v))
+    members = rows.selectExpr("concat('\"', i, '\":', text) AS text")
+    json_split.write_documents(members, str(tmp_path / "b"), array=False)
+    assert set(json.loads(next((tmp_path / "b").glob("document=*/part-*.txt")).read_text())) == {str(i) for i in range(60)}
+    json_split.write_documents(rows.limit(0), str(tmp_path / "c"))
+    assert json_split.entries(spark, str(tmp_path / "c"), 1).collect() == []
+
+
 def test_snapshot_format(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     paths = [str(tmp_path / "a.vsnap"), str(tmp_path / "sub" / "b.vsnap")]
