@@ -10,7 +10,8 @@ them are fitted. Without one, a documented generator writes findings of both kin
 Each text is scanned whole, in one pass; a document's findings are bounded by its own text.
 
 Defined cases. Null and empty texts have no candidates. A null path is the empty path. Repeated
-candidates in a text each count. Extra columns are not read. An empty table gives an empty result.
+candidates in a text each count. The key column keeps its type. Extra columns are not read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .text import slices, utf8
 
@@ -81,8 +83,40 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
-def generated_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings from public key formats (1) and from look-alikes (0)."""
+def _formatted(pick, r: random.Random) -> dict[str, str]:
+    """A key of each known format, by the format's name."""
+    upper, alnum = string.ascii_uppercase, string.ascii_letters + string.digits
+    url = alnum + "-_"
+    return {
+        "access": "AKIA" + pick(upper + r.choice(["", string.digits]), 16),
+        "forge": "gh" + r.choice("pousr") + "_" + pick(alnum, 36),
+        "chat": "xox" + r.choice("abprs") + "-" + r.choice([f"{pick(string.digits, 11)}-{pick(alnum, 24)}", pick(alnum + "-", r.randint(10, 60)), pick(upper, r.randint(10, 24)), pick(string.ascii_lowercase + string.digits, r.randint(10, 24))]),
+        "payment": "sk_live_" + pick(r.choice([alnum, string.ascii_letters, string.ascii_lowercase, string.ascii_lowercase + string.digits]), r.randint(16, 32)),
+        "cloud": "AIza" + pick(url, 35),
+        "claims": ".".join(["eyJ" + pick(url, r.randint(8, 40)), pick(url, r.randint(8, 120)), pick(url, r.randint(8, 60))]),
+        "private": "-----BEGIN " + r.choice(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----",
+    }
+
+
+def _chosen(pick, words: list[str], r: random.Random) -> str:
+    """A password as people choose them: words, digits and marks."""
+    return r.choice([
+        lambda: r.choice(words) + pick(string.digits, r.randint(1, 4)) + r.choice(words),
+        lambda: pick(string.ascii_lowercase, r.randint(4, 7)) + pick(string.digits, r.randint(1, 4)) + r.choice(["", "!", "#", pick(string.ascii_lowercase, 6)]),
+        lambda: "".join(x.replace("o", "0").replace("e", "3").replace("a", "4") for x in (r.choice(words), r.choice(words))) + pick(string.digits, 2),
+        lambda: pick(string.ascii_letters + string.digits + "!@#$%", r.randint(8, 16)),
+    ])()
+
+
+def _stand_in(words: list[str], r: random.Random) -> str:
+    """What stands where a value would be: a variable, a call, a plain word."""
+    a, b, c = (r.choice(words) for _ in range(3))
+    return r.choice([f"{a}.{b}", f"get_{a}()", f"${{{a}_{b}}}".upper(), f"${a}_{b}", f"<{a}-{b}>", f"{a}_{b}", f"{a}[{b}]", f"{{{{{a}.{b}}}}}", f"{a}{b},", f"{a}-{b}-{c}", f"self.{a}.{b}", "required", "invalid", "********", "xxxxxxxx"])
+
+
+def generated_findings(n: int = 6000, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings: keys of all public formats, alone or assigned, random keys and chosen passwords assigned with
+    or without quotes (1); and look-alikes, among them variables and placeholders where a value would be (0)."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
@@ -91,6 +125,19 @@ def generated_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, st
     paths = ["", "src/app", "config/prod.env", "docs/page", "web", "src0", "src7", "tests/data"]
     out = []
     for i in range(n):
+        if i % 5 > 2:  # known formats and assignments without quotes
+            before, after = prose(), r.choice(["", " ", "\n", " " + prose()])
+            name = r.choice(["", "", "db_", "my-", "app."]) + r.choice(KEYWORDS[:-1])
+            assigned = r.choice([str, str.upper, str.capitalize])(name) + r.choice(["=", ": ", " = ", " => "])
+            kind = r.choice(["formatted", "formatted", "random", "chosen"]) if i % 2 else "stand-in"
+            if kind == "formatted":
+                key = r.choice(list(_formatted(pick, r).values()))
+                before += r.choice(["", "", assigned, "key "])
+            else:
+                key = {"random": lambda: pick(r.choice([hexa, alnum, string.ascii_letters]), r.randint(16, 48)), "chosen": lambda: _chosen(pick, words, r), "stand-in": lambda: _stand_in(words, r)}[kind]()
+                before += assigned
+            out.append((key, before[-AROUND:], after[:AROUND], r.choice(paths), i % 2))
+            continue
         case = lambda x: x.upper() if r.random() < 0.15 else x
         if i % 2:
             key = r.choice([lambda: case(pick(hexa, r.choice([32, 40, 64]))), lambda: pick(alnum, r.randint(20, 48)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum + "+/", 40), lambda: pick(alnum + "!@#", r.randint(8, 16))])()
@@ -184,7 +231,7 @@ _FINDING = "array<struct<start:int,length:int,score:double,secret:boolean>>"
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, findings (start and length in code points, score, secret) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64()), ("secret", pa.bool_())]))
 
     def apply(batches):
@@ -204,7 +251,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
                     at += len(own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "findings"])
 
-    return rows.mapInArrow(apply, f"doc_id long, findings {_FINDING}")
+    return rows.mapInArrow(apply, StructType([rows.schema["doc_id"], *StructType.fromDDL(f"findings {_FINDING}")]))
 
 
 def report(docs: DataFrame) -> DataFrame:
