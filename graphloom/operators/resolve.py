@@ -115,10 +115,14 @@ def remap_edges(edges: DataFrame, ids: DataFrame, existing: DataFrame) -> DataFr
 
 
 def external_headers(functions: DataFrame, dependency: DataFrame) -> DataFrame:
-    """(id, dep_id): stubs with a header and the dependency's function of that name, one with source before others."""
+    """(id, dep_id): stubs with a header and the dependency's function of that name, one with source before others.
+
+    A name's function is chosen before the join, so that no stub meets all of its namesakes. Repeated stubs count once.
+    """
     stubs = functions.filter("coalesce(source, '') = '' and decl_header is not null").select("id", "name")
-    d = dependency.select(F.col("id").alias("dep_id"), "name", (F.coalesce("source", F.lit("")) == "").alias("bare"))
-    return stubs.join(d, "name").groupBy("id").agg(F.min(F.struct("bare", "dep_id")).alias("m")).select("id", "m.dep_id")
+    bare = F.coalesce("source", F.lit("")) == ""
+    d = dependency.groupBy("name").agg(F.min(F.struct(bare.alias("bare"), F.col("id").alias("dep_id"))).alias("m"))
+    return stubs.join(d, "name").groupBy("id").agg(F.min("m").alias("m")).select("id", "m.dep_id")
 
 
 def single_project(headers: DataFrame, projects: DataFrame) -> DataFrame:

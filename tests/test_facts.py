@@ -158,6 +158,22 @@ def test_resolution_strategies(spark):
     assert got == {"src/a.c:f": (1, "file"), "/b/x/y/g.c:g": (3, "suffix"), "only": (5, "name"), "f": (2, "name"), "_Z1h": (4, "demangled"), "new": (None, "stub")}
 
 
+def test_external_headers_meet_names_once(spark):
+    """2,000 stubs and 50,000 functions of one name: the join gives a row for each stub, not each pair."""
+    stubs = spark.range(2000).selectExpr("id", "if(id < 1999, 'f', 'g') AS name", "'' AS source", "'h.h' AS decl_header")
+    d = spark.range(50_000).selectExpr("id + 7 AS id", "'f' AS name", "if(id >= 40, 'x', null) AS source")
+    out = resolve.external_headers(stubs, d)
+    assert {(r.id, r.dep_id) for r in out.collect()} == {(i, 47) for i in range(1999)}
+    bare = resolve.external_headers(stubs, d.filter("source is null").union(spark.createDataFrame([(3, None, "x")], "id long, name string, source string")))
+    assert {r.dep_id for r in bare.collect()} == {7}
+    joins, todo = [], [out._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        p = todo.pop()
+        joins += [p] if "Join" in p.nodeName() else []
+        todo += [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+    assert [j.metrics().apply("numOutputRows").value() for j in joins] == [1999]
+
+
 def test_reviews_and_matches(spark):
     p = spark.createDataFrame([(1, [("l", "k", "d")])], "function_id long, issues array<struct<location:string,issue_kind:string,description:string>>")
     i = listing.issues(p)
