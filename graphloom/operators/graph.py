@@ -20,6 +20,13 @@ from .merge import numbered
 TASK_EDGES = 1 << 18
 #: Steps along edges in one job of a loop.
 HOPS = 4
+#: Rows up to which a side of a loop's joins may be broadcast; larger ones never pass through the driver.
+SMALL = 1 << 16
+
+
+def _apart(df: DataFrame, n: int | None = None) -> DataFrame:
+    """df (of n rows at most) as a side of a join that isn't broadcast unless it is small."""
+    return df if n is not None and n <= SMALL else df.hint("merge")
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -51,16 +58,23 @@ def _ids(df: DataFrame) -> DataFrame:
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): the seeds and all they call, directly or not. seeds: (id). A round goes HOPS calls far."""
-    pairs = written(_pairs(edges))
+    return _reached(seeds, written(_pairs(edges)))
+
+
+def _reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """reachable over pairs (a written table of distinct ones)."""
     seen = Rounds()
-    frontier = seen.add(_ids(seeds))
-    while not frontier.isEmpty():
-        steps = [frontier]
-        for _ in range(HOPS):
-            steps.append(steps[-1].join(pairs, F.col("id") == F.col("caller_id")).select(F.col("callee_id").alias("id")).distinct())
-        reached = reduce(DataFrame.union, steps[1:]).distinct()
-        frontier = seen.add(reached.join(seen.all(), "id", "left_anti"))
-    return seen.all()
+    frontier = seen.add(_ids(seeds).withColumn("step", F.lit(HOPS)))
+    n = total = frontier.count()
+    while n:
+        steps = [frontier.select("id")]
+        for i in range(HOPS):
+            steps.append(_apart(steps[-1], n if i == 0 else None).join(pairs, F.col("id") == F.col("caller_id")).select(F.col("callee_id").alias("id")).distinct())
+        reached = reduce(DataFrame.union, [s.withColumn("step", F.lit(i)) for i, s in enumerate(steps) if i]).groupBy("id").agg(F.min("step").alias("step"))
+        new = seen.add(reached.join(_apart(seen.all().select("id"), total), "id", "left_anti"))
+        frontier = new.filter(F.col("step") == HOPS)  # the others' callees are reached already
+        n, total = frontier.count(), total + new.count()
+    return seen.all().select("id")
 
 
 def affected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,29 +145,29 @@ def _contracted(pairs: DataFrame, tasks: int) -> DataFrame:
 def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """pairs between the new names, without those inside one."""
     a, b = names.select(F.col("id").alias("caller_id"), F.col("name").alias("x")), names.select(F.col("id").alias("callee_id"), F.col("name").alias("y"))
-    met = pairs.join(a, "caller_id", "left").join(b, "callee_id", "left")
+    met = pairs.join(_apart(a), "caller_id", "left").join(_apart(b), "callee_id", "left")
     return met.select(F.coalesce("x", "caller_id").alias("caller_id"), F.coalesce("y", "callee_id").alias("callee_id")).filter("caller_id <> callee_id").distinct()
 
 
 def _trimmed(pairs: DataFrame) -> DataFrame:
     """pairs whose caller is called and whose callee calls; other nodes are components of their own."""
-    kept = pairs.join(pairs.select(F.col("callee_id").alias("caller_id")).distinct(), "caller_id", "left_semi")
-    return written(kept.join(pairs.select(F.col("caller_id").alias("callee_id")).distinct(), "callee_id", "left_semi").select("caller_id", "callee_id"))
+    kept = pairs.join(_apart(pairs.select(F.col("callee_id").alias("caller_id")).distinct()), "caller_id", "left_semi")
+    return written(kept.join(_apart(pairs.select(F.col("caller_id").alias("callee_id")).distinct()), "callee_id", "left_semi").select("caller_id", "callee_id"))
 
 
 def _followed(names: DataFrame | None, more: DataFrame) -> DataFrame:
     """names (id, name) carried on by further ones."""
     if names is None:
         return more
-    further = names.join(more.select(F.col("id").alias("name"), F.col("name").alias("n")), "name", "left").select("id", F.coalesce("n", "name").alias("name"))
-    return written(further.unionByName(more.join(names, "id", "left_anti")))
+    further = names.join(_apart(more.select(F.col("id").alias("name"), F.col("name").alias("n"))), "name", "left").select("id", F.coalesce("n", "name").alias("name"))
+    return written(further.unionByName(more.join(_apart(names), "id", "left_anti")))
 
 
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """labels (id, color): each node's smallest color among itself and all that reach it."""
     while True:
-        came = labels.join(pairs, F.col("id") == F.col("caller_id")).groupBy("callee_id").agg(F.min("color").alias("c"))
-        after = labels.join(came, F.col("id") == F.col("callee_id"), "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), (F.col("c") < F.col("color")).alias("less"))
+        came = _apart(labels).join(pairs, F.col("id") == F.col("caller_id")).groupBy("callee_id").agg(F.min("color").alias("c"))
+        after = labels.join(_apart(came), F.col("id") == F.col("callee_id"), "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), (F.col("c") < F.col("color")).alias("less"))
         after = written(after)
         labels = after.select("id", "color")
         if after.filter("less").isEmpty():
@@ -163,11 +177,12 @@ def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
 def _by_color(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, name) of the components that hold the smallest node of all that reach them, and the pairs that are left."""
     colors = _spread(nodes(pairs).withColumn("color", F.col("id")), pairs)
-    inside = pairs.join(colors.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(colors.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
+    by = _apart(colors)
+    inside = pairs.join(by.select(F.col("id").alias("caller_id"), F.col("color").alias("x")), "caller_id").join(by.select(F.col("id").alias("callee_id"), F.col("color").alias("y")), "callee_id").filter("x = y")
     inside = written(inside.select("caller_id", "callee_id"))
     members = reachable(colors.filter("id = color").select("id"), reverse(inside))
-    found = written(colors.join(members, "id", "left_semi").select("id", F.col("color").alias("name")))
-    gone = found.select("id")
+    found = written(colors.join(_apart(members), "id", "left_semi").select("id", F.col("color").alias("name")))
+    gone = _apart(found.select("id"))
     left = inside.join(gone.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti").join(gone.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti")
     return found, written(left.select("caller_id", "callee_id"))
 
@@ -178,12 +193,18 @@ def sccs(edges: DataFrame, vertices: DataFrame | None = None, task_edges: int =
     vertices: further nodes (id), for those without edges. Each task contracts the components among its own task_edges
     edges; what is left is renamed, trimmed of nodes without callers or callees, and dealt to fewer tasks, until
     one task holds the rest. Where a round hardly shrinks the graph (long cycles across all tasks), a round of colors follows: the smallest
-    id that reaches a node is its color, and of a color those that reach its root make a component.
+    id that reaches a node is its color, and of a color those that reach its root make a component. No table that grows with the graph
+    is broadcast.
     """
     pairs = written(_pairs(edges))
     every = nodes(pairs) if vertices is None else nodes(pairs).union(_ids(vertices)).distinct()
-    pairs, names = written(pairs.filter("caller_id <> callee_id")), None
+    pairs, names = pairs.filter("caller_id <> callee_id"), None
     n = pairs.count()
+    while n > task_edges:
+        pairs, before = _trimmed(pairs), n
+        n = pairs.count()
+        if n > 0.8 * before:
+            break
     while n:
         tasks = -(-n // task_edges)
         names = _followed(names, found := written(_contracted(pairs, tasks)))
@@ -196,19 +217,19 @@ def sccs(edges: DataFrame, vertices: DataFrame | None = None, task_edges: int =
         n = pairs.count()
     if names is None:
         return every.select("id", F.col("id").alias("scc_id"))
-    return every.join(names, "id", "left").select("id", F.coalesce("name", "id").alias("scc_id"))
+    return every.join(_apart(names), "id", "left").select("id", F.coalesce("name", "id").alias("scc_id"))
 
 
 def recursive(components: DataFrame) -> DataFrame:
     """(id): members of components with several members; a self call alone is not recursion."""
     big = components.groupBy("scc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return components.join(big, "scc_id", "left_semi").select("id")
+    return components.join(_apart(big), "scc_id", "left_semi").select("id")
 
 
 def _labelled(edges: DataFrame, components: DataFrame) -> DataFrame:
     a = components.select(F.col("id").alias("caller_id"), F.col("scc_id").alias("src"))
     b = components.select(F.col("id").alias("callee_id"), F.col("scc_id").alias("dst"))
-    return edges.join(a, "caller_id").join(b, "callee_id")
+    return edges.join(_apart(a), "caller_id").join(_apart(b), "callee_id")
 
 
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -222,28 +243,51 @@ def external_callees(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(scc_id, level): longest way to a leaf of the condensation; leaves have level 0.
+    """(scc_id, level): longest way to a leaf of the condensation; leaves have level 0."""
+    found = _levels(written(condensation(edges, components)), components.select("scc_id").distinct())
+    if found is None:
+        raise ValueError("the condensation has a cycle")
+    return found
+
+
+def _levels(dag: DataFrame, every: DataFrame) -> DataFrame | None:
+    """levels of every (scc_id) over dag (src, dst; a written table); None if it has a cycle.
 
     Those with level L + 1 or more are the callers of those with level L or more, so one join gives
-    each next set; a round makes HOPS of them. A component's level is the last set that has it.
+    each next set; a round makes HOPS of them. A component's level is the last set that has it. Each set lies within
+    the one before, so a round reads only calls of the last set.
     """
-    dag = written(condensation(edges, components))
     sets, level = Rounds(), 0
-    last = sets.add(components.select("scc_id").distinct().withColumn("level", F.lit(0)))
-    n = last.count()
+    n = sets.add(every.withColumn("level", F.lit(0))).count()
     while n:
-        steps = [last.select("scc_id")]
-        for _ in range(HOPS):
-            steps.append(dag.join(steps[-1].withColumnRenamed("scc_id", "dst"), "dst", "left_semi").select(F.col("src").alias("scc_id")).distinct())
-        made = sets.add(reduce(DataFrame.union, [s.withColumn("level", F.lit(level + i)) for i, s in enumerate(steps) if i]))
+        steps = [dag.select(F.col("src").alias("scc_id")).distinct()]
+        while len(steps) < HOPS:
+            last = _apart(steps[-1].withColumnRenamed("scc_id", "dst"), n)
+            steps.append(dag.join(last, "dst", "left_semi").select(F.col("src").alias("scc_id")).distinct())
+        made = sets.add(reduce(DataFrame.union, [s.withColumn("level", F.lit(level + i)) for i, s in enumerate(steps, 1)]))
         level += HOPS
         last, before = made.filter(F.col("level") == level), n
         n = last.count()
         if n == before:
-            raise ValueError("the condensation has a cycle")
+            return None
+        if n:
+            dag = written(dag.join(_apart(last.select(F.col("scc_id").alias("dst")), n), "dst", "left_semi").select("src", "dst"))
     return sets.all().groupBy("scc_id").agg(F.max("level").alias("level"))
 
 
+def placed(pairs: DataFrame, every: DataFrame) -> DataFrame:
+    """(id, scc_id, level, loop: whether its component has several members) of every (id), over pairs of these (a written table of distinct ones).
+
+    Levels come first, as most call graphs have no cycle and need no components then.
+    """
+    found = _levels(pairs.filter("caller_id <> callee_id").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), every.select(F.col("id").alias("scc_id")))
+    if found is not None:
+        return found.select(F.col("scc_id").alias("id"), "scc_id", "level", F.lit(False).alias("loop"))
+    components = written(sccs(pairs, every))
+    both = components.join(_apart(levels(pairs, components)), "scc_id").join(_apart(recursive(components).withColumn("loop", F.lit(True))), "id", "left")
+    return both.select("id", "scc_id", "level", F.coalesce("loop", F.lit(False)).alias("loop"))
+
+
 def topological(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(position, scc_id, level): callees first; inside a level by name. Numbers come from counts of sorted partitions."""
     return numbered(levels(edges, components), ["level", "scc_id"], "position")
@@ -290,12 +334,15 @@ def aliases(units: DataFrame, members: DataFrame) -> DataFrame:
 
 def confirm(candidates: DataFrame, known: DataFrame, alias: DataFrame) -> DataFrame:
     """Candidates (name) that may alias a known name, or a confirmed one: a fixpoint. alias: (a, b), either way."""
-    both = written(alias.select("a", "b").union(alias.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    either = alias.select("a", "b").union(alias.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(either.join(_apart(candidates.select(F.col("name").alias("b")).distinct()), "b", "left_semi").select("a", "b"))
     found = candidates.join(known, "name", "left_semi").select("name").distinct()
     frontier = written(known.select("name").union(found).distinct())
     confirmed = Rounds()
-    confirmed.add(found)
-    while not frontier.isEmpty():
-        near = frontier.join(both, F.col("name") == F.col("a")).select(F.col("b").alias("name")).distinct()
-        frontier = confirmed.add(near.join(candidates, "name", "left_semi").join(confirmed.all(), "name", "left_anti"))
+    n, total = frontier.count(), confirmed.add(found).count()
+    while n:
+        near = _apart(frontier, n).join(both, F.col("name") == F.col("a")).select(F.col("b").alias("name")).distinct()
+        frontier = confirmed.add(near.join(_apart(confirmed.all(), total), "name", "left_anti"))
+        n = frontier.count()
+        total += n
     return confirmed.all()

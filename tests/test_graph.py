@@ -134,3 +134,19 @@ def test_levels_refuse_cycles(spark):
     e = edges(spark, [(1, 2), (2, 1)])
     with pytest.raises(ValueError, match="cycle"):
         graph.levels(e, e.select("caller_id").selectExpr("caller_id AS id", "caller_id AS scc_id"))
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    e = spark.range(60).selectExpr("id AS caller_id", "if(id % 10 = 9, id - 2, id + 1) AS callee_id")
+    c = graph.sccs(e)
+    for df in (c, graph.condensation(e, c), graph.external_callees(e, c), graph.recursive(c)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in graph.recursive(c).collect()} == {i for i in range(60) if i % 10 in (7, 8, 9)}
+
+
+def test_reachable_over_several_rounds_with_short_cuts(spark):
+    """Nodes that are met before a round's last step aren't expanded again; those at its last step are."""
+    e = [(i, i + 1) for i in range(1, 12)] + [(1, 4), (4, 9), (12, 1), (9, 20), (30, 1)]
+    found = graph.reachable(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame(e, "caller_id long, callee_id long"))
+    assert sorted(r.id for r in found.collect()) == [*range(1, 13), 20]
