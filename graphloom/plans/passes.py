@@ -57,23 +57,29 @@ class Pass:
 
 
 class _Scope:
-    """What a run may touch, in folders by level."""
+    """What a run may touch, in folders by level.
 
-    def __init__(self, functions: DataFrame, edges: DataFrame, ids: DataFrame | None) -> None:
-        calls = edges.select(F.col("caller_id").cast("long"), F.col("callee_id").cast("long")).filter("caller_id is not null and callee_id is not null").distinct()
+    edges: distinct ones, a written table; ids: of the functions that it concerns, if not all; closed: these include all callers of theirs.
+    """
+
+    def __init__(self, functions: DataFrame, edges: DataFrame, ids: DataFrame | None, closed: bool) -> None:
         every = functions.select(F.col("id").cast("long")).distinct()
-        self.ids = written(every if ids is None else every.join(ids, "id", "left_semi"))
-        calls = written(calls.join(self.ids.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi"))
-        inside = calls.join(self.ids.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi").select("caller_id", "callee_id")
-        components = written(graph.sccs(inside, self.ids))
-        placed = components.join(graph.levels(inside, components), "scc_id").join(graph.recursive(components).withColumn("loop", F.lit(True)), "id", "left")
-        self.placed = written(placed.select("id", "scc_id", "level", F.coalesce("loop", F.lit(False)).alias("loop")))
+        self.ids = written(every if ids is None else every.join(graph._apart(ids), "id", "left_semi"))
+        strangers = not graph.nodes(edges).join(graph._apart(self.ids if ids is None else every), "id", "left_anti").isEmpty()
+        inside, known = edges, graph._apart(self.ids)
+        if strangers or not (ids is None or closed):
+            inside = inside.join(known.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi")
+        if strangers or ids is not None:
+            inside = inside.join(known.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi")
+        inside = edges if inside is edges else written(inside.select("caller_id", "callee_id"))
+        self.placed = written(graph.placed(inside, self.ids))
         self.loops = not self.placed.filter("loop").isEmpty()
-        names = functions.select(F.col("id").cast("long").alias("callee_id"), F.col("name").alias("callee"))
-        self.calls = written(calls.join(names, "callee_id", "left").join(self.placed.select(F.col("id").alias("caller_id"), "level"), "caller_id"), "level")
+        self.names = written(functions.select(F.col("id").cast("long").alias("callee_id"), F.col("name").alias("callee")))
+        at = graph._apart(self.placed.select("id", "level"))
+        self.calls = written(edges.join(at.withColumnRenamed("id", "caller_id"), "caller_id").select("caller_id", "callee_id", "level"), "level")
         runnable = functions.filter(F.coalesce("source", F.lit("")) != "") if "source" in functions.columns else functions
-        self.functions = written(runnable.join(self.placed, "id").withColumnRenamed("id", "function_id"), "level")
-        self.callees = calls.select(F.col("callee_id").alias("function_id")).union(self.ids.select(F.col("id").alias("function_id"))).distinct()
+        self.functions = written(runnable.join(graph._apart(self.placed), "id").withColumnRenamed("id", "function_id"), "level")
+        self.callees = self.calls.select(F.col("callee_id").alias("function_id")).union(self.ids.select(F.col("id").alias("function_id"))).distinct()
 
 
 class _Work:
@@ -82,12 +88,13 @@ class _Work:
     def __init__(self, p: Pass, scope: _Scope, have: DataFrame | None, dirty: DataFrame | None, force: bool) -> None:
         self.p, self.scope, self.spread = p, scope, dirty is not None
         self.needs = False
+        self.whole = dirty is None and (force or have is None)  # all functions run
         empty = scope.ids.sparkSession.sql(f"SELECT CAST(NULL AS BIGINT) AS function_id, CAST(NULL AS {p.payload}) AS payload WHERE false")
-        self.base = empty if have is None else written(have.select(F.col("function_id").cast("long"), F.col("payload").cast(p.payload)).join(scope.callees, "function_id", "left_semi"))
+        self.base = empty if have is None else written(have.select(F.col("function_id").cast("long"), F.col("payload").cast(p.payload)).join(graph._apart(scope.callees), "function_id", "left_semi"))
         where = scope.functions.select("function_id", "level")
-        start = where if force or have is None else where.join(p.cached(scope.functions, self.base).select("function_id").distinct(), "function_id", "left_anti")
+        start = where if force or have is None else where.join(graph._apart(p.cached(scope.functions, self.base).select("function_id").distinct()), "function_id", "left_anti")
         if dirty is not None:
-            start = start.union(where.join(dirty.select(F.col("id").alias("function_id")).distinct(), "function_id", "left_semi"))
+            start = start.union(where.join(graph._apart(dirty.select(F.col("id").alias("function_id")).distinct()), "function_id", "left_semi"))
         self.marks, self.results, self.retried = Rounds(), Rounds(), False
         self.marks.add(start)
         self.results.add(empty.select("function_id", "payload", F.lit(False).alias("error"), F.lit(False).alias("changed"), F.lit(0).cast("long").alias("place")))
@@ -104,19 +111,23 @@ class _Work:
         last = rows.groupBy("function_id").agg(F.max_by(F.struct("payload", "error", "changed"), "place").alias("r"))
         return last.select("function_id", "r.*")
 
-    def _summarised(self, ids: DataFrame, level: int | None, working: DataFrame | None = None) -> DataFrame:
-        """(function_id, payload, error, needs, changed, old) of functions, from the payloads so far. level: theirs, if it's one."""
+    def _summarised(self, ids: DataFrame | None, level: int | None, working: DataFrame | None = None) -> DataFrame:
+        """(function_id, payload, error, needs, changed, old) of functions, from the payloads so far. level: theirs, if it's one; ids None: all of it."""
         at = F.lit(True) if level is None else F.col("level") == level
-        calls = self.scope.calls.filter(at).join(ids.select(F.col("function_id").alias("caller_id")), "caller_id", "left_semi")
+        calls, rows = self.scope.calls.filter(at).select("caller_id", "callee_id"), self.scope.functions.filter(at)
+        if ids is not None:
+            ids = graph._apart(ids.select("function_id"))
+            calls, rows = calls.join(ids.withColumnRenamed("function_id", "caller_id"), "caller_id", "left_semi"), rows.join(ids, "function_id", "left_semi")
         layers = [x for x in (working, self.found(), self.base) if x is not None]
-        for i, x in enumerate(layers):
-            calls = calls.join(x.select(F.col("function_id").alias("callee_id"), F.col("payload").alias(f"_{i}")), "callee_id", "left")
+        for i, x in enumerate(layers):  # joins on callees share one shuffle of the calls
+            calls = calls.join(graph._apart(x.select(F.col("function_id").alias("callee_id"), F.col("payload").alias(f"_{i}"))), "callee_id", "left")
         calls = calls.withColumn("payload", F.coalesce(*(f"_{i}" for i in range(len(layers))))).filter("payload is not null")
+        calls = calls.join(graph._apart(self.scope.names), "callee_id", "left").select("caller_id", "callee_id", "callee", "payload")
         called = calls.groupBy(F.col("caller_id").alias("function_id")).agg(F.sort_array(F.collect_list(F.struct("callee_id", F.col("callee").alias("name"), "payload"))).alias("callees"))
-        rows = self.scope.functions.filter(at).join(ids.select("function_id"), "function_id", "left_semi").join(called, "function_id", "left")
+        rows = rows.join(graph._apart(called), "function_id", "left")
         rows = rows.withColumn("callees", F.coalesce("callees", F.array().cast(f"array<struct<callee_id:bigint,name:string,payload:{self.p.payload}>>")))
         before = self.base if working is None else working.select("function_id", "payload").unionByName(self.base.join(working, "function_id", "left_anti"))
-        old = before.select("function_id", F.col("payload").alias("previous"))
+        old = graph._apart(before.select("function_id", F.col("payload").alias("previous")))
         made = self.p.summarise(rows.join(old, "function_id", "left"))
         self.needs = "needs" in made.columns
         given = {"error": F.lit(False), "needs": F.array().cast("array<bigint>"), "changed": F.lit(True)}
@@ -127,7 +138,7 @@ class _Work:
         same = F.col("payload").eqNullSafe(F.col("previous"))
         return made.withColumn("changed", F.col("changed") & ~F.col("error") & ~same).drop("previous")
 
-    def _completed(self, ids: DataFrame, level: int, working: DataFrame | None = None) -> DataFrame:
+    def _completed(self, ids: DataFrame | None, level: int, working: DataFrame | None = None) -> DataFrame:
         """_summarised; callees that were named as incomplete run again before those that named them."""
         made = self._summarised(ids, level, working)
         if not self.needs:
@@ -149,7 +160,7 @@ class _Work:
     def run_level(self, level: int) -> None:
         todo = self.marks.all().filter(F.col("level") == level).select("function_id").distinct()
         if not self.scope.loops:
-            self._finish(self._completed(todo, level), level)
+            self._finish(self._completed(None if self.whole else todo, level), level)
             return
         todo = written(todo.join(self.scope.placed.select(F.col("id").alias("function_id"), "loop", "scc_id"), "function_id"))
         self._finish(self._completed(todo.filter("not loop"), level), level)
@@ -179,28 +190,33 @@ class _Work:
         made = self._keep(made)
         if self.spread:
             moved = made.filter("changed").select(F.col("function_id").alias("callee_id"))
-            callers = self.scope.calls.join(moved, "callee_id", "left_semi").filter(F.col("level") > level)
+            callers = self.scope.calls.filter(F.col("level") > level).join(graph._apart(moved), "callee_id", "left_semi")
             self.marks.add(callers.select(F.col("caller_id").alias("function_id"), "level").distinct())
 
     def result(self) -> DataFrame:
         ran = self.found().withColumn("ran", F.lit(True))
-        kept = self.base.join(self.scope.ids.withColumnRenamed("id", "function_id"), "function_id", "left_semi").join(ran, "function_id", "left_anti")
+        kept = self.base.join(graph._apart(self.scope.ids.withColumnRenamed("id", "function_id")), "function_id", "left_semi").join(graph._apart(ran), "function_id", "left_anti")
         return ran.unionByName(kept.select("function_id", "payload", F.lit(False).alias("error"), F.lit(False).alias("changed"), F.lit(False).alias("ran")))
 
 
-def run(functions: DataFrame, edges: DataFrame, passes: list[Pass], have: dict[str, DataFrame] | None = None, dirty: dict[str, DataFrame] | None = None, targets: DataFrame | None = None, force: bool = False) -> dict[str, DataFrame]:
+def calls(edges: DataFrame) -> DataFrame:
+    """edges as distinct pairs without nulls, a written table: for several runs over the same ones."""
+    return written(graph._pairs(edges))
+
+
+def run(functions: DataFrame, edges: DataFrame, passes: list[Pass], have: dict[str, DataFrame] | None = None, dirty: dict[str, DataFrame] | None = None, targets: DataFrame | None = None, force: bool = False, clean: bool = False) -> dict[str, DataFrame]:
     """By pass: (function_id, payload, error, changed, ran) of the functions that the run concerns.
 
     functions: (id, name, ...); have: stored (function_id, payload) by pass; dirty: (id) by pass; targets: (id), these alone
-    and without spreading; force: run whatever is stored. `changed` is against the stored payload.
+    and without spreading; force: run whatever is stored; clean: edges come from `calls`. `changed` is against the stored payload.
     """
     have = have or {}
-    ids = None
+    edges, ids = edges if clean else calls(edges), None
     if targets is not None:
         ids, dirty = targets.select(F.col("id").cast("long")).distinct(), None
     elif dirty is not None:
-        ids = graph.affected(reduce(DataFrame.union, [d.select(F.col("id").cast("long")) for d in dirty.values()]), edges)
-    scope = _Scope(functions, edges, ids)
+        ids = graph._reached(reduce(DataFrame.union, [d.select(F.col("id").cast("long")) for d in dirty.values()]), graph.reverse(edges))
+    scope = _Scope(functions, edges, ids, dirty is not None)
     none = scope.ids.limit(0)
     works = [_Work(p, scope, have.get(p.name), None if dirty is None else dirty.get(p.name, none), force) for p in passes]
 

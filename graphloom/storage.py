@@ -23,7 +23,7 @@ def stored(df: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, in folders by some columns, gone when the application ends; and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    (df.repartitionByRange(*by, *df.columns[:1]).write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), path

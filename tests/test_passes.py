@@ -64,3 +64,16 @@ def test_recursive_components_run_until_nothing_changes(spark, graph):
     out = passes.run(f, e, [passes.weight_pass(), passes.memsafe_pass("f1", "name")])
     assert ran(out["weight"]) == {i: (7, True) for i in (1, 2, 3, 4)}
     assert {r.function_id for r in out["memsafe"].collect()} == {1, 2, 3, 4}
+
+
+def test_graphs_without_cycles_need_no_components(spark, graph, monkeypatch):
+    def none(*args):
+        raise AssertionError("components of a graph without cycles")
+
+    monkeypatch.setattr(passes.graph, "sccs", none)
+    f, e = graph({1: 0, 2: 9, 3: 1, 4: 2, 5: 0}, [(1, 2), (2, 3), (4, 3), (5, 4), (3, 3), (3, 77)])  # a self call, and a callee that is no function
+    calls = passes.calls(e)
+    first = passes.run(f, calls, [passes.weight_pass()], clean=True)["weight"]
+    assert ran(first) == {i: (t, True) for i, t in {1: 9, 2: 9, 3: 1, 4: 2, 5: 2}.items()}
+    have, dirty = {"weight": first.select("function_id", "payload")}, {"weight": spark.createDataFrame([(4,)], "id long")}
+    assert ran(passes.run(f.withColumn("weight", F.col("weight") + 1), calls, [passes.weight_pass()], have, dirty, clean=True)["weight"]) == {4: (3, True), 5: (3, True)}
