@@ -235,6 +235,24 @@ def test_judged_as_by_brute_force(docs, monkeypatch, most):
         assert any(not got[i].kept and not got[i].base_failed for i in got)
 
 
+@pytest.mark.parametrize("held", [40, 500])
+def test_no_ngram_is_dropped(docs, monkeypatch, held):
+    """With arrays that hold a part of each model (40: not even all classes), measures are those of whole models."""
+    assert R.kneser_ney.__defaults__ == (True, None)  # no pruning
+    monkeypatch.setattr(R, "HELD", held)
+    rows = [(i, t, "en" if x == "en" else None) for i, t, x in corpus(random.Random(8))[:90]]
+    got = {r.doc_id: r for r in R.judge(docs(rows).repartition(3)).collect()}
+    for lang in (None, "en"):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        of_characters, words_of = model([t for _, t in own]), counts([t for _, t in own])
+        models = [interpolated(c, [1] * len(c)) for c in words_of]
+        assert sum(map(len, words_of[0])) > held and len(words_of[1][1]) > min(held, 100)
+        for i, t in own:
+            want = [perplexity(of_characters, t), *word_measures(*models, t)]
+            for name, v in zip(("log_perplexity", "class_log_perplexity", "word_log_perplexity", "order_log_ratio"), want, strict=True):
+                assert getattr(got[i], name) == (None if v is None else pytest.approx(v, abs=1e-4)), (i, name)
+
+
 def test_large_language_leaves_room_for_a_small_one(spark):
     rows = [("big", c) for c in range(1, 201)] + [("small", 1)] * 10 + [("mid", 1)] * 30 + [("mid", 2)] * 30
     got = {r.lang: r.least for r in R._with_least(R.written(spark.createDataFrame(rows, "lang string, c long")), 90).distinct().collect()}
