@@ -29,10 +29,12 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def compile_commands(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(file, directory, output, flags): the last entry of each file, paths made absolute.
 
-    flags: those of PARSE_FLAGS, in order; commands are split as a shell does. Large arrays are read by many tasks.
+    flags: those of PARSE_FLAGS, in order; commands are split as a shell does. Large arrays are read by many tasks. Of entries that
+    spell their directory and file alike, only the last one's command is split.
     """
     raw = entries(spark, path, 1, chunk=chunk).select("path", "start", "seq", F.from_json("text", _COMMAND).alias("e"))
-    raw = raw.select(F.struct("path", "start", "seq").alias("pos"), "e.*")
+    last = lambda df, *key: df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("pos").desc()))).filter("_r = 1").drop("_r")
+    raw = last(raw.select(F.struct("path", "start", "seq").alias("pos"), "e.*"), "directory", "file")
     schema = "file string, directory string, output string, flags array<string>, pos struct<path:string,start:long,seq:long>"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,9 +58,7 @@ def compile_commands(spark: SparkSession, path: str, chunk: int = CHUNK) -> Data
                 out.append((absolute(r.file), r.directory, absolute(r.output), flags, r.pos))
             yield pd.DataFrame(out, columns=["file", "directory", "output", "flags", "pos"])
 
-    rows = raw.mapInPandas(parse, schema)
-    w = Window.partitionBy("file").orderBy(F.col("pos").desc())
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "pos")
+    return last(raw.mapInPandas(parse, schema), "file").drop("pos")
 
 
 def call_graph(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:

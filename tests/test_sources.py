@@ -62,6 +62,13 @@ def test_readers(spark, tmp_path, chunk):
     assert files.call_graph(spark, str(tmp_path / "none.json"), chunk)[1].collect() == []
 
 
+def test_only_last_commands_are_split(spark, tmp_path):
+    """Commands that a later entry of the same directory and file replaces are never split; other spellings of a file still meet."""
+    cc = [{"directory": "/d", "file": "a.c", "command": "cc 'never ends"}, {"directory": "/d", "file": "a.c", "command": "cc -DI=1"}, {"directory": "/d/e", "file": "../b.c", "command": "cc -DI=2"}, {"directory": "/d", "file": "./b.c", "arguments": ["cc", "-DI=3"]}]
+    (tmp_path / "cc.json").write_text(json.dumps(cc))
+    assert {r.file: r.flags for r in files.compile_commands(spark, str(tmp_path / "cc.json"), 20).collect()} == {"/d/a.c": ["-DI=1"], "/d/b.c": ["-DI=3"]}
+
+
 def test_documents_written(spark, tmp_path):
     rows = spark.createDataFrame([(i % 7, i, json.dumps({"i": i, "t": "a,\n]"})) for i in range(60)], "k int, i int, text string")
     json_split.write_documents(rows, str(tmp_path / "a"), 'm"', key="k", order=("i",), each=20)
