@@ -14,6 +14,8 @@ FUZZ_ENDINGS = (".c", ".cc", ".cpp")
 TEST_ENDING = ".c"
 # End of fixed values.
 IDENTIFIER = "[^A-Za-z0-9_]+"
+#: Rows of a table of words that is broadcast.
+SMALL = 300_000
 
 
 def holding(words: DataFrame, names: DataFrame) -> DataFrame:
@@ -47,6 +49,9 @@ def references(files: DataFrame, names: DataFrame, most: int | None = None) -> D
         rank = F.row_number().over(Window.partitionBy(key).orderBy("path", "line"))
         return df.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
+    held = known.select("word").distinct()
+    if held.count() <= SMALL:  # only words that hold a name are ranked
+        words = words.join(F.broadcast(held), "word", "left_semi")
     # a name's first lines are among the first lines of each word that holds it, which tasks find before the shuffle
     return first(first(words, "word").join(known, "word").select("name", "path", "line").distinct(), "name")
 

@@ -86,3 +86,11 @@ def test_references(spark):
     fuzz = {p for p, _ in files if p.startswith("fuzz/") and p.endswith((".c", ".cc"))}
     tests = {(x, p) for x in names for y, p, _ in [w for w in want if w[0] == x and w[1].endswith(".c")][:10] if "test" in p.lower() and p not in fuzz}
     assert {(r.name, r.path) for r in out.collect()} == {(None, p) for p in fuzz} | tests
+
+
+def test_first_references_with_and_without_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{i}.c", f"x\nfoo_a {i} bar\nb\nbar foo_b") for i in range(9)], "path string, text string")
+    n = spark.createDataFrame([("foo",), ("bar",)], "name string")
+    few = sorted(map(tuple, search.references(df, n, 3).collect()))
+    monkeypatch.setattr(search, "SMALL", -1)
+    assert sorted(map(tuple, search.references(df, n, 3).collect())) == few and len(few) == 6
